@@ -102,7 +102,7 @@ def secret_spans(docs: DataFrame, owner: Column | None = None, repo: Column | No
     live = ~F.col("example")
     per_row = judged.groupBy("row").agg(F.collect_list(F.when(live & (F.col("kind") >= len(BASE)), F.col("span"))).alias("added"), F.sum(live.cast("int")).cast("long").alias("n_live"), F.sum(F.col("example").cast("int")).cast("long").alias("n_example"))
     df = hits.select("row", "doc_id", F.transform("_gl_base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("base")).join(per_row, "row", "left")
-    n = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
+    n = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)"))))
     return df.select("doc_id", *n, F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(every).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
