@@ -70,18 +70,18 @@ def forest_roots(parents: DataFrame, roots: DataFrame) -> DataFrame:
 
     Pointers are doubled until none that isn't at a root moves on, log2(n) rounds at most.
     """
-    at_root = roots.select("i", F.lit(True).alias("done"))
+    at_root = roots.select(F.col("i").alias("to"))
     ptr = parents.select("i", F.col("parent").alias("to")).unionByName(roots.select("i", F.col("i").alias("to")))
     ptr = stored(ptr)
     open_before = -1
     while True:
         hop = ptr.select(F.col("i").alias("to"), F.col("to").alias("next"))
         ptr = stored(ptr.join(hop, "to", "left").select("i", F.coalesce("next", "to").alias("to")))
-        left = ptr.join(at_root, ptr.to == at_root.i, "left_anti").count()
+        left = ptr.join(at_root, "to", "left_anti").count()
         if left in (0, open_before):
             break
         open_before = left
-    return ptr.join(at_root.select(F.col("i").alias("to")), "to", "left_semi").select("i", F.col("to").alias("root"))
+    return ptr.join(at_root, "to", "left_semi").select("i", F.col("to").alias("root"))
 
 
 def relax(values: DataFrame, edges: DataFrame, combine: str, rounds: int = HOPS, limit: int = 100_000) -> DataFrame:
