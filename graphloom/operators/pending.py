@@ -160,16 +160,14 @@ def top_roots(p: Pending, kind: int, attributed: DataFrame) -> DataFrame:
     return exact.orderBy(F.desc("nblocked"), _order(kind)[1]).limit(SHOWN)
 
 
-def blocking_inputs(g: Frames, threshold: int = S.OPTIONAL) -> DataFrame:
+def blocking_inputs(p: Pending) -> DataFrame:
     """The flagship: state, path, detached, nblocked of the files that block most steps."""
-    p = analyse(g, threshold)
     top = top_roots(p, FILE, attribute(p))
     return top.join(p.dead, F.col("root").cast("long") == F.col("i")).select("state", F.col("label").alias("path"), "detached", "nblocked").orderBy(F.desc("nblocked"), "path")
 
 
-def blocking_resources(g: Frames, threshold: int = S.OPTIONAL) -> DataFrame:
+def blocking_resources(p: Pending) -> DataFrame:
     """name, units_needed, units_available, nblocked."""
-    p = analyse(g, threshold)
     top = top_roots(p, RESOURCE, attribute(p))
     short = p.short.groupBy("name").agg(F.max("units").alias("units_needed"), F.max("available").alias("units_available"))
     return top.join(short, F.col("root") == F.col("name")).select("name", "units_needed", "units_available", "nblocked").orderBy(F.desc("nblocked"), "name")
@@ -181,9 +179,8 @@ def buckets(p: Pending, attributed: DataFrame) -> DataFrame:
     return u.groupBy("root_kind").agg(F.count(F.lit(1)).alias("nblocked"), F.min("label").alias("example"))
 
 
-def summary(g: Frames, threshold: int = S.OPTIONAL) -> DataFrame:
+def summary(p: Pending) -> DataFrame:
     """One row: all pending steps, dead files, short resources, attributed and cyclic steps."""
-    p = analyse(g, threshold)
     a = stored(attribute(p))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     out = one(p.universe, "n_pending")

@@ -402,9 +402,9 @@ pend("pend_cyclic", lambda p: p.universe.join(P.attribute(p), F.col("i") == F.co
 pend("top_rank_roots", lambda p: P.ranked_roots(p, P.attribute(p)), "SELECT root_kind, root, n FROM rk")
 pend("gr_exact_counts", lambda p: P.exact_counts(p, P.ranked_roots(p, P.attribute(p)).filter(F.col("root_kind") == P.RESOURCE)), "SELECT root_kind, root, nblocked FROM exact WHERE root_kind = 1")
 pend("top_display", lambda p: P.top_roots(p, P.FILE, P.attribute(p)), "SELECT root, nblocked FROM exact WHERE root_kind = 0 ORDER BY nblocked DESC, CAST(root AS BIGINT) LIMIT 10")
-add("top_inputs", P.blocking_inputs, f"WITH {PEND} SELECT d.state, d.label AS path, d.detached, e.nblocked FROM (SELECT * FROM exact WHERE root_kind = 0 ORDER BY nblocked DESC, CAST(root AS BIGINT) LIMIT 10) e JOIN dead d ON CAST(d.i AS STRING) = e.root")
-add("top_resources", P.blocking_resources, f"WITH {PEND} SELECT e.root AS name, max(s.units) AS units_needed, max(s.available) AS units_available, max(e.nblocked) AS nblocked FROM exact e JOIN sh s ON s.name = e.root WHERE e.root_kind = 1 GROUP BY 1")
-add("pend_summary", P.summary, f"WITH {PEND} SELECT (SELECT count(*) FROM u) AS n_pending, (SELECT count(*) FROM dead) AS n_inputs, (SELECT count(DISTINCT name) FROM sh) AS n_resources, (SELECT count(*) FROM att) AS n_attributed, (SELECT count(*) FROM u WHERE i NOT IN (SELECT step FROM att)) AS n_cyclic")
+pend("top_inputs", P.blocking_inputs, "SELECT d.state, d.label AS path, d.detached, e.nblocked FROM (SELECT * FROM exact WHERE root_kind = 0 ORDER BY nblocked DESC, CAST(root AS BIGINT) LIMIT 10) e JOIN dead d ON CAST(d.i AS STRING) = e.root")
+pend("top_resources", P.blocking_resources, "SELECT e.root AS name, max(s.units) AS units_needed, max(s.available) AS units_available, max(e.nblocked) AS nblocked FROM exact e JOIN sh s ON s.name = e.root WHERE e.root_kind = 1 GROUP BY 1")
+pend("pend_summary", P.summary, "SELECT (SELECT count(*) FROM u) AS n_pending, (SELECT count(*) FROM dead) AS n_inputs, (SELECT count(DISTINCT name) FROM sh) AS n_resources, (SELECT count(*) FROM att) AS n_attributed, (SELECT count(*) FROM u WHERE i NOT IN (SELECT step FROM att)) AS n_cyclic")
 
 # Scheduling
 
@@ -438,7 +438,7 @@ def _calls(g: Frames) -> DataFrame:
     return L.attributed_frames(q.select("f", (F.floor(F.col("f") / 2)).alias("caller"), F.lit(2).alias("time")).unionByName(q.select("f", F.lit(22).cast("long").alias("caller"), F.lit(1).alias("time"))), q.filter("f IN (1, 3, 5)").select("f"))
 
 
-add("prof_attribute", _calls, "WITH w AS (SELECT query_i AS f, query_i AS at, 0 AS k FROM sqllog_index UNION ALL SELECT f, CAST(floor(at / 2) AS BIGINT), k + 1 FROM w WHERE at NOT IN (1, 3, 5) AND k < 10) SELECT f, at AS \"to\" FROM w WHERE at IN (1, 3, 5)")
+add("prof_attribute", _calls, "WITH w AS (SELECT query_i AS f, query_i AS a, 0 AS k FROM sqllog_index UNION ALL SELECT f, a // 2, k + 1 FROM w WHERE a NOT IN (1, 3, 5) AND k < 10) SELECT f, a AS \"to\" FROM w WHERE a IN (1, 3, 5)")
 add("browse_node", lambda g: R.with_state(g).filter("i = 15").join(R.with_creator(g).select("i", "creator_label"), "i"), "SELECT n.i, n.kind, n.label, s.state, c.label AS creator_label FROM node n LEFT JOIN step s ON s.node = n.i LEFT JOIN node c ON c.i = n.creator WHERE n.i = 15")
 
 # Streams, as batches
