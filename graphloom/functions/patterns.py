@@ -111,19 +111,22 @@ class Pattern:
         return "\\A(?:" + "".join(out) + ")\\z"
 
     def glob(self) -> str:
-        """The plain glob that finds all candidates: names become their substitutes, runs of wildcards one."""
-        parts = {"one": "?", "star": "*", "deep": "**", "folders": "**/"}
+        """The plain glob that finds all candidates: names become their substitutes, runs of wildcards one `*`; `**` only
+        stays where it is a whole component."""
         text = ""
-        for p in self.pieces:
-            if p.kind in ("name", "again"):
-                text += self.subs.get(p.text, "*")
-            elif p.kind == "set":
-                text += f"[{p.text}]"
+        for k, p in enumerate(self.pieces):
+            whole = not text or text.endswith("/")
+            sub = self.subs.get(p.text, "*") if p.kind in ("name", "again") else "*"
+            if p.kind in ("star", "deep", "name", "again"):
+                if text.endswith("*"):
+                    text = text.rstrip("*") + "*" + sub.lstrip("*")
+                else:
+                    text += "**" if p.kind == "deep" and whole and k == len(self.pieces) - 1 else sub
+            elif p.kind == "folders":
+                text = text + "**/" if whole else text.rstrip("*") + "*/"
             else:
-                text += parts.get(p.kind, p.text)
-        # `**` only spans folders where it is a whole component
-        text = re.sub(r"\*{2,}(?!/)|(?<=[^/])\*{2,}(?=/)", lambda m: "**" if m.end() == len(text) and (m.start() == 0 or text[m.start() - 1] == "/") else "*", text)
-        return re.sub(r"(?<!\*)\*(?:\*(?!/|$))+", "*", text)
+                text += {"one": "?", "set": f"[{p.text}]"}.get(p.kind, p.text)
+        return text
 
     def base(self) -> str:
         """The folder below which all matches lie."""

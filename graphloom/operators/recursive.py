@@ -147,20 +147,15 @@ def step_edges(g: Frames) -> DataFrame:
 def need_and_tail(g: Frames) -> DataFrame:
     """node, implied_need, tail_time: the largest need among a step and what uses it, targets included, and the longest
     duration of a chain of steps from it on."""
-    from .relational import regular_outputs
+    from .relational import regular_outputs, targets_in_dirs
 
     out = regular_outputs(g)
     exact = out.join(g.target_path, F.col("label") == F.col("path"), "left_semi").select(F.col("step").alias("node")).distinct().withColumn("exact", F.lit(True))
-    from .relational import targets_in_dirs
-
     files = targets_in_dirs(g).select("file").distinct()
     below = out.join(files, "file", "left_semi").select(F.col("step").alias("node")).distinct().withColumn("below", F.lit(True))
     raised = F.when(F.col("exact") | (F.col("below") & (F.col("need") == S.DEFAULT)), F.greatest("need", F.lit(S.TARGET))).otherwise(F.col("need"))
-    own = g.step.join(exact, "node", "left").join(below, "node", "left").select(F.col("node").alias("i"), raised.cast("long").alias("own"))
-    edges = fixpoint.stored(step_edges(g))
-    need = fixpoint.relax(own, edges, "max").select(F.col("i").alias("node"), F.col("v").cast("int").alias("implied_need"))
-    tail = fixpoint.relax(g.step.select(F.col("node").alias("i"), F.col("duration").alias("own")), edges, "sum").select(F.col("i").alias("node"), F.col("v").alias("tail_time"))
-    return need.join(tail, "node")
+    own = g.step.join(exact, "node", "left").join(below, "node", "left").select(F.col("node").alias("i"), raised.cast("int").alias("implied_need"), F.col("duration").alias("tail_time"))
+    return fixpoint.relax(own, step_edges(g), {"implied_need": "max", "tail_time": "sum"}).withColumnRenamed("i", "node")
 
 
 def mark_pending(g: Frames, changed: DataFrame) -> DataFrame:

@@ -84,25 +84,27 @@ def forest_roots(parents: DataFrame, roots: DataFrame) -> DataFrame:
     return ptr.join(at_root, "to", "left_semi").select("i", F.col("to").alias("root"))
 
 
-def relax(values: DataFrame, edges: DataFrame, combine: str, rounds: int = HOPS, limit: int = 100_000) -> DataFrame:
-    """(i, v): v of values (i, own), raised along edges until stable: own max v(dst), or own + max v(dst) for combine 'sum'.
+def relax(values: DataFrame, edges: DataFrame, how: dict[str, str], rounds: int = HOPS, limit: int = 100_000) -> DataFrame:
+    """i and the columns of how, raised along edges until stable: the own value max the users' (how 'max'), or the own value
+    plus the users' largest ('sum'). All columns go through one loop.
 
-    edges (src, dst) point from what depends to what it depends on. For 'sum' the graph must be acyclic; more than `limit`
-    rounds raise.
+    values has i and the columns; edges (src, dst) point from what is used to what uses it. For 'sum' the graph must be
+    acyclic; more than `limit` rounds raise.
     """
+    cols = list(how)
     edges = stored(edges.select("src", "dst").distinct())
-    base = stored(values.select("i", "own"))
-    now = base.select("i", F.col("own").alias("v"))
-    done = 0
+    base = stored(values.select("i", *cols))
+    now, done = base, 0
     while True:
         before = now
         for _ in range(rounds):
-            best = edges.join(now.select(F.col("i").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("i")).agg(F.max("v").alias("most"))
-            after = base.join(best, "i", "left")
-            new = F.col("own") + F.coalesce("most", F.lit(0)) if combine == "sum" else F.greatest("own", F.coalesce("most", "own"))
-            now = after.select("i", new.alias("v"))
+            users = now.select(F.col("i").alias("dst"), *cols)
+            most = edges.join(users, "dst").groupBy(F.col("src").alias("i")).agg(*(F.max(c).alias(f"most_{c}") for c in cols))
+            up = {c: F.col(c) + F.coalesce(f"most_{c}", F.lit(0)) if how[c] == "sum" else F.greatest(c, F.coalesce(f"most_{c}", c)) for c in cols}
+            now = base.join(most, "i", "left").select("i", *(e.alias(c) for c, e in up.items()))
         now = stored(now)
-        if now.join(before.select("i", F.col("v").alias("was")), "i").filter("v != was").isEmpty():
+        was = before.select("i", *(F.col(c).alias(f"was_{c}") for c in cols))
+        if now.join(was, "i").filter(" OR ".join(f"{c} != was_{c}" for c in cols)).isEmpty():
             return now
         done += rounds
         if done > limit:
