@@ -3,7 +3,7 @@
 TREES trees are fitted on a bounded sample of SAMPLE vectors (those with the smallest hashes of their ids): a node splits its
 sample by the hyperplane between two of its vectors, until LEAF sample vectors or fewer are left. Every vector then falls into
 one leaf a tree. A query goes through all trees with one priority queue, ordered by the margins on the way: the nearest leaves
-over all trees come first, until they hold CHECKED of all vectors. The vectors of a leaf are compared with the queries that
+over all trees come first, until they hold CHECKED of all vectors, and LEAST vectors at least. The vectors of a leaf are compared with the queries that
 chose it, block by block, and each candidate that might be among the best is reranked by its exact cosine in double precision.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids, which is all that k neighbours can need, so copies neither fill a
@@ -30,6 +30,8 @@ SAMPLE = 16_384
 LEAF = 192
 #: Vectors that a query's leaves hold, as a share of all; those in several leaves count once for each.
 CHECKED = 1.0
+#: Vectors that they hold at least, counted alike, where a share of a small table would be too few.
+LEAST = 8192
 #: Queries compared at once.
 QUERIES = 256
 CHUNK = 4096
@@ -212,7 +214,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = K, trees: int = TREES,
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked = [shared.value.search(q, sizes, int(checked * total) + 1) for q in unit(_vectors(b.column(2)))] if b.num_rows else []
+            picked = [shared.value.search(q, sizes, max(LEAST, int(checked * total) + 1)) for q in unit(_vectors(b.column(2)))] if b.num_rows else []
             picked = [[n * (1 << 20) + c for n in p for c in range(chunks.get(n, 0))] for p in picked]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(picked, pa.list_(pa.int64()))], ["h1", "h2", "e", "picked"])
 
