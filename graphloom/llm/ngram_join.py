@@ -28,6 +28,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ PERCENT = 90
 BLOCK = 512
 #: Texts are hashed in runs of about so many bytes.
 RUN_BYTES = 1 << 20
+#: Digests that a task combines before the shuffle.
+COMBINED_ROWS = 1 << 20
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -332,36 +335,78 @@ def measured(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEASURED)
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): every set that shares a digest, with the first set that has it; nodes has id and digests.
+def _stars(d: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each digest starts in rows ordered by digest and id, and the first id of each row's digest."""
+    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    return start, np.repeat(i[start], np.diff(np.concatenate([start, [len(d)]])))
 
-    One shuffle of (digest, id); a task keeps the current digest only. Equal sets are one node, so a digest's rows are
-    different sets, and a large group of near copies is spread over all its digests.
+
+def _gathered(nodes: DataFrame, combined: int) -> DataFrame:
+    """d, id, first: each digest once per run of about `combined` rows of an input partition, with the smallest id that has it
+    there (first null); every other id of the run is paired with that one (d is only where the pair is sent)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            d, i = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((i, d))
+            d, i = d[order], i[order]
+            start, first = _stars(d, i)
+            other = i != first
+            a, b = i[other], first[other]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b = a[new], b[new]
+            cols = [np.concatenate(x) for x in ((d[start], a), (i[start], a), (np.zeros(len(start), np.int64), b))]
+            absent = np.arange(len(cols[0])) < len(start)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=absent)], ["d", "id", "first"])
+
+        for b in batches:
+            lists = b.column(1)
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(b.column(0).to_numpy(), counts)))
+            size += len(held[-1][0])
+            if size > combined:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return nodes.filter("size(digests) > 0").select("id", "digests").mapInArrow(run, "d long, id long, first long")
+
+
+def candidate_pairs(nodes: DataFrame, combined: int = COMBINED_ROWS) -> DataFrame:
+    """(a, b) that connect all sets that share a digest; nodes has id and digests.
+
+    Ids of one digest are combined into stars before the shuffle, so a digest that a third of all sets share is a row per run
+    there; the runs' first ids then form a star of their own. A task keeps the current digest only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            start = np.flatnonzero(np.concatenate([[last is None or d[0] != last], d[1:] != d[:-1]]))
-            if not len(start) or start[0]:
-                start, lead = np.concatenate([[0], start]), np.concatenate([[first], i[start]]).astype(np.int64)
-            else:
-                lead = i[start]
-            leader = np.repeat(lead, np.diff(np.concatenate([start, [len(d)]])))
-            last, first = d[-1], leader[-1]
-            pairs = set(zip(i[i != leader].tolist(), leader[i != leader].tolist())) - seen
+            paired = batch.column(2).is_valid()
+            done, rest = batch.filter(paired), batch.filter(pa.compute.invert(paired))
+            pairs = set(zip(done.column(1).to_pylist(), done.column(2).to_pylist()))
+            if rest.num_rows:
+                d, i = rest.column(0).to_numpy(), rest.column(1).to_numpy()
+                _, leader = _stars(d, i)
+                if d[0] == last:
+                    leader = np.where(d == last, first, leader)
+                last, first = d[-1], leader[-1]
+                pairs |= set(zip(i[i != leader].tolist(), leader[i != leader].tolist()))
+            pairs -= seen
             if len(seen) > 200_000:
                 seen.clear()
             seen |= pairs
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = nodes.select(F.explode("digests").alias("d"), "id")
-    return rows.repartition("d").sortWithinPartitions("d", "id").mapInArrow(run, "a long, b long").distinct()
+    return _gathered(nodes, combined).repartition("d").sortWithinPartitions("d", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

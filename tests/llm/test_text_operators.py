@@ -185,6 +185,27 @@ def test_ngram_join_chain_beyond_a_block(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("combined", [0, 7, 1 << 20])
+def test_candidate_pairs_connect_what_shares_a_digest(spark, combined):
+    """One digest in every set, some in few; runs of any length give the same components."""
+    rows = [(i, [-1, 1000 + i % 7, 2000 + i] if i < 40 else [3000 + i // 2]) for i in range(60)] + [(60, [])]
+    nodes = spark.createDataFrame(rows, "id long, digests array<long>").repartition(3)
+    pairs = ngram_join.candidate_pairs(nodes, combined).collect()
+    parent = list(range(61))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    want = [0] * 40 + [i - i % 2 for i in range(40, 60)] + [60]
+    least = {}
+    for i in range(61):
+        least.setdefault(find(i), i)
+    assert [least[find(i)] for i in range(61)] == want
+    assert len(pairs) < 150
+
+
 def test_one_of_each(spark, corpus):
     kept = ngram_join.one_of_each(documents(spark, corpus)).collect()
     want = {c for _, _, c in brute_components([r for r in corpus if r[0] is not None])}
