@@ -15,13 +15,17 @@ from graphloom.llm import ngram_join, quality_classifier, secret_scan, source_mi
 from graphloom.llm.common import table, written
 from graphloom.llm.queries import MAX_REPEATS, vocabulary
 
+#: Near duplicates of the pipeline: word n-grams and the Jaccard percentage from which two documents link.
+SHINGLE_WORDS = 5
+SHINGLE_PERCENT = 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,18 @@ def test_stages(spark, folder):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in left["best_fit_packing"]) == pieces
 
 
+def test_near_copies_of_five_words(spark, folder):
+    rng = random.Random(7)
+    words = [rng.choices([f"w{k}" for k in range(900)], k=150) for _ in range(12)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(words)]
+    for i, w in enumerate(words):  # 1 to 3 words changed, apart from each other; with three, 0.89 of three words and 0.81 of five
+        rows.append((100 + i, " ".join("new" if k in (20, 60, 100)[: 1 + i % 3] else x for k, x in enumerate(w)), "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, folder).collect())
+    assert got == Counter({c for _, _, c in brute_components(rows, 5, 80)})
+    assert len(got) < len({c for _, _, c in brute_components(rows)})
+
+
 def test_empty_corpus(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
