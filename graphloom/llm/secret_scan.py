@@ -35,6 +35,7 @@ ORDER = tuple(k for k, *_ in (*BASE, *EXTRA))
 MAX_OWNERS = 3
 MAX_REPOS = 6
 SPAN = "array<struct<start: int, kind: int, end: int, secret: string>>"
+PLACE = "array<struct<start: int, kind: int, end: int>>"
 
 
 def _hinted(text: Column, kind: str) -> Column:
@@ -85,6 +86,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return out.withColumn("example", (F.col("n_owners") > MAX_OWNERS) | (F.col("n_repos") > MAX_REPOS))
 
 
+def occurrences(hits: DataFrame) -> DataFrame:
+    """row, owner, repo, secret_hash, kind, span of every span of scanned rows."""
+    each = hits.filter("size(_gl_base) + size(_gl_extra) > 0").select("row", "owner", "repo", F.explode(F.concat("_gl_base", "_gl_extra")).alias("s"))
+    return each.select("row", "owner", "repo", F.sha2("s.secret", 256).alias("secret_hash"), F.col("s.kind").alias("kind"), F.struct("s.start", "s.kind", "s.end").alias("span"))
+
+
+def _holders(owner: Column | None, repo: Column | None) -> tuple[Column, Column]:
+    owner = F.col("source") if owner is None else owner
+    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
+    return owner.cast("string"), repo.cast("string")
+
+
+def _places(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
 def _names(spans: Column) -> Column:
     kinds = "array(" + ", ".join(f"'{k}'" for k in ORDER) + ")"
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.expr(kinds), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -92,35 +109,43 @@ def _names(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example of every document."""
-    owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"))
+    owner, repo = _holders(owner, repo)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), owner.alias("owner"), repo.alias("repo"))
     # one pass over the texts; what follows reads the spans only, and row ids are fixed once they are written
     hits = written(scanned(src, ["doc_id", "owner", "repo"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = hits.filter("size(_gl_base) + size(_gl_extra) > 0").select("row", "owner", "repo", F.explode(F.concat("_gl_base", "_gl_extra")).alias("s")).select("row", "owner", "repo", F.sha2("s.secret", 256).alias("secret_hash"), F.col("s.kind").alias("kind"), F.struct("s.start", "s.kind", "s.end").alias("span"))
+    each = occurrences(hits)
     judged = each.join(ownership(each).select("secret_hash", "example"), "secret_hash")
     live = ~F.col("example")
     per_row = judged.groupBy("row").agg(F.collect_list(F.when(live & (F.col("kind") >= len(BASE)), F.col("span"))).alias("added"), F.sum(live.cast("int")).cast("long").alias("n_live"), F.sum(F.col("example").cast("int")).cast("long").alias("n_example"))
-    df = hits.select("row", "doc_id", F.transform("_gl_base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("base")).join(per_row, "row", "left")
+    df = hits.select("row", "doc_id", _places("_gl_base").alias("base")).join(per_row, "row", "left")
     n = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)"))))
+    every = F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {PLACE})"))))
     return df.select("doc_id", *n, F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(every).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with `mark` in place of every base span and of every further span, and n_chars to match; other columns stay.
+def redacted(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None, repo: Column | None = None) -> DataFrame:
+    """docs with `mark` in place of the spans that secret_spans reports, and n_chars to match; other columns stay.
 
-    A text's own spans decide, so nothing is shuffled; overlapping spans are replaced as one.
+    So examples of the further kinds stay in the texts. Only rows with further spans are shuffled with their texts; overlapping
+    spans are replaced as one.
     """
     cols = docs.columns
-    df = scanned(docs, cols)
+    owner, repo = _holders(owner, repo)
+    found = written(scanned(docs.withColumn("_gl_owner", owner).withColumn("_gl_repo", repo), [*cols, "_gl_owner", "_gl_repo"]).withColumn("_gl_row", F.monotonically_increasing_id()), "scanned")
+    each = occurrences(found.select(F.col("_gl_row").alias("row"), F.col("_gl_owner").alias("owner"), F.col("_gl_repo").alias("repo"), "_gl_base", "_gl_extra"))
+    live = ownership(each).filter("NOT example").select("secret_hash")
+    added = each.filter(F.col("kind") >= len(BASE)).join(live, "secret_hash", "left_semi").groupBy(F.col("row").alias("_gl_row")).agg(F.collect_list("span").alias("_gl_added"))
+    none = F.expr(f"cast(array() as {PLACE})")
+    further = F.size("_gl_extra") > 0
+    df = found.filter(further).join(added, "_gl_row", "left").withColumn("_gl_added", F.coalesce("_gl_added", none))
+    df = df.unionByName(found.filter(~further).withColumn("_gl_added", none)).withColumn("_gl_spans", F.array_sort(F.concat(_places("_gl_base"), F.col("_gl_added"))))
     rebuilt = F.expr("""
-        aggregate(array_sort(concat(_gl_base, _gl_extra)),
+        aggregate(_gl_spans,
             named_struct('at', 0, 'out', ''),
             (acc, x) -> if(x.end <= acc.at, acc, named_struct('at', x.end,
                 'out', if(x.start < acc.at, acc.out, concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '%s')))),
             acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))""" % mark.replace("'", "''"))
-    hit = F.size("_gl_base") + F.size("_gl_extra") > 0
+    hit = F.size("_gl_spans") > 0
     df = df.withColumn("_gl_new", F.when(hit, rebuilt).otherwise(F.col("text")))
     out = {c: F.col(f"`{c}`") for c in cols} | {"text": F.col("_gl_new")}
     if "n_chars" in cols:
