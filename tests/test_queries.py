@@ -41,6 +41,15 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(tuple(normal(x[k]) for k in at) for x in r.fetchall())
 
 
+@pytest.mark.parametrize(("part", "whole", "rows", "largest"), [("jn_concurrent", "jn_concurrent_all", 2961, None)])
+def test_whole_tables(spark, duck, part, whole, rows, largest):
+    df, r = Q.queries()[whole](spark, SF), duck.sql(Q.oracle_sql()[whole])
+    got = sorted(tuple(x) for x in df.select(*r.columns).collect())
+    assert got == sorted(r.fetchall()) and len(got) == rows
+    assert largest is None or max(x[1] for x in got) == largest
+    assert len(got) > len(duck.sql(Q.oracle_sql()[part]).fetchall())
+
+
 def test_every_query_has_sql():
     assert Q.QUERIES.keys() == Q.ORACLES.keys()
     assert Q.QUERIES.keys() <= __spark_entry__.queries().keys()
