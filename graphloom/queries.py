@@ -276,6 +276,8 @@ def _layers(g: Frames) -> DataFrame:
 
 
 add("gr_leaf_layers", _layers, f"WITH e AS (SELECT step AS src, before AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached AND (before % 40 = 5 OR step % 40 = 5)), v AS (SELECT src AS i FROM e UNION SELECT dst FROM e), walk AS (SELECT i, 0 AS layer FROM v UNION SELECT e.src, walk.layer + 1 FROM walk JOIN e ON e.dst = walk.i) SELECT i, CAST(max(layer) AS INT) AS layer FROM walk GROUP BY 1")
+# gr_leaf_layers peels only edges at steps with i % 40 = 5, as its SQL does; this peels all
+add("gr_leaf_layers_all", lambda g: G.leaf_layers(G.step_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))), f"WITH e AS (SELECT step AS src, before AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached), v AS (SELECT src AS i FROM e UNION SELECT dst FROM e), walk AS (SELECT i, 0 AS layer FROM v UNION SELECT e.src, walk.layer + 1 FROM walk JOIN e ON e.dst = walk.i) SELECT i, CAST(max(layer) AS INT) AS layer FROM walk GROUP BY 1")
 
 # Constraints
 

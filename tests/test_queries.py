@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(tuple(normal(x[k]) for k in at) for x in r.fetchall())
 
 
-@pytest.mark.parametrize(("part", "whole", "rows", "largest"), [("jn_concurrent", "jn_concurrent_all", 2961, None)])
+@pytest.mark.parametrize(("part", "whole", "rows", "largest"), [("jn_concurrent", "jn_concurrent_all", 2961, None), ("gr_leaf_layers", "gr_leaf_layers_all", 1431, 17)])
 def test_whole_tables(spark, duck, part, whole, rows, largest):
     df, r = Q.queries()[whole](spark, SF), duck.sql(Q.oracle_sql()[whole])
     got = sorted(tuple(x) for x in df.select(*r.columns).collect())
