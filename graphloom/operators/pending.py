@@ -11,12 +11,14 @@ from ..functions import states as S
 from ..plans import fixpoint
 from ..plans.stored import stored
 from ..sources.frames import Frames
-from .recursive import need_and_tail, safety, unsafe_ancestor
+from .recursive import chains, need_and_tail
 from .relational import inputs_of, short_resources
 
 # Kinds of blockers in their order of precedence.
 FILE, RESOURCE, FAILED, DEFERRED, OTHER, RUNNABLE, STEP = 0, 1, 2, 3, 4, 5, 6
 POOL, SHOWN = 20, 10
+# Names of file states in reports.
+STATE_NAMES = {S.UNDECLARED: "UNDECLARED", S.UNCONFIRMED: "UNCONFIRMED", S.MISSING: "MISSING", S.CONFIRMED: "CONFIRMED", S.PLANNED: "PLANNED", S.BUILT: "BUILT", S.OUTDATED: "OUTDATED", S.VOLATILE: "VOLATILE"}
 
 
 def settled(g: Frames) -> Frames:
@@ -38,12 +40,12 @@ class Pending:
     step_block: DataFrame
 
 
-def universe(g: Frames, threshold: int = S.OPTIONAL) -> DataFrame:
-    """i, label, unsafe, deferred of attached pending steps that are needed."""
-    s = g.step.filter(F.col("state") == S.PENDING).join(need_and_tail(g), "node").filter(F.col("implied_need") > threshold).join(safety(g), "node")
-    n = g.node.filter("NOT detached").select(F.col("i").alias("node"), "label")
+def universe(g: Frames, threshold: int = S.OPTIONAL, above: DataFrame | None = None) -> DataFrame:
+    """i, label, unsafe, deferred of attached pending steps that are needed; above: what `chains` gave, if at hand."""
+    s = g.step.filter(F.col("state") == S.PENDING).join(g.node.filter("NOT detached").select(F.col("i").alias("node"), "label"), "node")
+    s = s.join(need_and_tail(g).filter(F.col("implied_need") > threshold).select("node"), "node", "left_semi").join(chains(g) if above is None else above, "node")
     unsafe = ~(F.col("safe") | (F.col("has_hash") & F.col("safe_ignoring_hold")))
-    return s.join(n, "node").select(F.col("node").alias("i"), "label", unsafe.alias("unsafe"), "deferred")
+    return s.select(F.col("node").alias("i"), "label", unsafe.alias("unsafe"), "deferred")
 
 
 def file_block(g: Frames, u: DataFrame) -> DataFrame:
@@ -68,11 +70,12 @@ def dead_files(g: Frames, u: DataFrame, block: DataFrame) -> DataFrame:
 
 def analyse(g: Frames, threshold: int = S.OPTIONAL) -> Pending:
     g = settled(g)
-    u = stored(universe(g, threshold))
+    above = stored(chains(g))
+    u = stored(universe(g, threshold, above))
     ids = u.select("i")
     block = stored(file_block(g, u))
     dead = stored(dead_files(g, u, block))
-    unsafe = stored(unsafe_ancestor(g).join(u.filter("unsafe").select(F.col("i").alias("node")), "node", "left_semi"))
+    unsafe = stored(above.filter("unsafe IS NOT NULL").select("node", F.col("unsafe").alias("anc")).join(u.filter("unsafe").select(F.col("i").alias("node")), "node", "left_semi"))
     short = stored(short_resources(g).join(ids, F.col("node") == F.col("i"), "left_semi"))
     made = producers(g).join(ids, F.col("producer") == F.col("i"), "left_semi").join(block, "file").select(F.col("producer").alias("src"), F.col("step").alias("dst"))
     held = unsafe.join(ids, F.col("anc") == F.col("i"), "left_semi").select(F.col("anc").alias("src"), F.col("node").alias("dst"))
@@ -160,17 +163,65 @@ def top_roots(p: Pending, kind: int, attributed: DataFrame) -> DataFrame:
     return exact.orderBy(F.desc("nblocked"), _order(kind)[1]).limit(SHOWN)
 
 
+def hidden(p: Pending, kind: int, attributed: DataFrame, shown: DataFrame) -> DataFrame:
+    """n_hidden, n_blocked: how many roots of a kind aren't shown (root), and the steps attributed to them, a lower bound."""
+    rest = ranked_roots(p, attributed).filter(F.col("root_kind") == kind).join(shown.select("root"), "root", "left_anti")
+    return rest.agg(F.count(F.lit(1)).alias("n_hidden"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_blocked"))
+
+
+def hidden_counts(p: Pending) -> DataFrame:
+    """root_kind, n_hidden, n_blocked of the kinds with hidden roots."""
+    a = stored(attribute(p))
+    parts = [hidden(p, kind, a, top_roots(p, kind, a)).select(F.lit(kind).alias("root_kind"), "n_hidden", "n_blocked") for kind in (FILE, RESOURCE)]
+    return parts[0].unionByName(parts[1]).filter("n_hidden > 0")
+
+
 def blocking_inputs(p: Pending) -> DataFrame:
     """The flagship: state, path, detached, nblocked of the files that block most steps."""
-    top = top_roots(p, FILE, attribute(p))
-    return top.join(p.dead, F.col("root").cast("long") == F.col("i")).select("state", F.col("label").alias("path"), "detached", "nblocked").orderBy(F.desc("nblocked"), "path")
+    return _shown_inputs(p, top_roots(p, FILE, attribute(p))).orderBy(F.desc("nblocked"), "path")
+
+
+def _shown_inputs(p: Pending, top: DataFrame) -> DataFrame:
+    return top.join(p.dead, F.col("root").cast("long") == F.col("i")).select("state", F.col("label").alias("path"), "detached", "nblocked")
 
 
 def blocking_resources(p: Pending) -> DataFrame:
     """name, units_needed, units_available, nblocked."""
-    top = top_roots(p, RESOURCE, attribute(p))
+    return _shown_resources(p, top_roots(p, RESOURCE, attribute(p))).orderBy(F.desc("nblocked"), "name")
+
+
+def _shown_resources(p: Pending, top: DataFrame) -> DataFrame:
     short = p.short.groupBy("name").agg(F.max("units").alias("units_needed"), F.max("available").alias("units_available"))
-    return top.join(short, F.col("root") == F.col("name")).select("name", "units_needed", "units_available", "nblocked").orderBy(F.desc("nblocked"), "name")
+    return top.join(short, F.col("root") == F.col("name")).select("name", "units_needed", "units_available", "nblocked")
+
+
+def report(p: Pending) -> DataFrame:
+    """section, position, key, detail, count (text): the rows of a report on what is pending: inputs, resources, each with a
+    remainder row where roots stay hidden, and what remains by kind. Formatting only; at most a few dozen rows."""
+    a = stored(attribute(p))
+    row = lambda df, section, key, detail, count, order: df.select(F.lit(section).alias("section"), order.alias("position"), key.alias("key"), detail.alias("detail"), count.alias("count"))
+    out = []
+    names = F.create_map(*(F.lit(x) for k, v in STATE_NAMES.items() for x in (k, v)))
+    for kind, section, noun in ((FILE, "inputs", "input(s)"), (RESOURCE, "resources", "resource(s)")):
+        top = stored(top_roots(p, kind, a))
+        order = lambda key: F.row_number().over(Window.orderBy(F.desc("nblocked"), key))
+        if kind == FILE:
+            path = F.when(F.col("detached"), F.concat(F.lit("("), F.col("path"), F.lit(")"))).otherwise(F.col("path"))
+            out.append(row(_shown_inputs(p, top), section, names[F.col("state")], path, F.col("nblocked").cast("string"), order("path")))
+        else:
+            have = F.coalesce(F.concat(F.col("units_available").cast("string"), F.lit(" available")), F.lit("none available"))
+            out.append(row(_shown_resources(p, top), section, F.col("name"), F.concat(F.col("units_needed").cast("string"), F.lit(" needed, "), have), F.col("nblocked").cast("string"), order("name")))
+        rest = hidden(p, kind, a, top).filter("n_hidden > 0")
+        least = F.when(F.col("n_blocked") > 0, F.concat(F.lit("≥ "), F.col("n_blocked").cast("string"))).otherwise("")
+        out.append(row(rest, section, F.lit(""), F.format_string(f"... and %d more {noun}", "n_hidden"), least, F.lit(SHOWN + 1)))
+    kinds = {FAILED: "failed", DEFERRED: "deferred", OTHER: "other", RUNNABLE: "runnable"}
+    label = F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v)))
+    more = buckets(p, a).filter(F.col("root_kind").isNull() | F.col("root_kind").isin(*kinds))
+    out.append(row(more, "kinds", F.coalesce(label[F.col("root_kind")], F.lit("cyclic")), F.col("example"), F.col("nblocked").cast("string"), F.coalesce(F.col("root_kind"), F.lit(STEP))))
+    df = out[0]
+    for x in out[1:]:
+        df = df.unionByName(x)
+    return df
 
 
 def buckets(p: Pending, attributed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states as S
 from ..plans import fixpoint
+from ..plans.stored import stored
 from ..sources.frames import Frames
 from .relational import nodes
 
@@ -93,6 +94,12 @@ def subtree_sources(g: Frames, seeds: DataFrame) -> DataFrame:
     return source_steps(g).join(below, "step", "left_semi").select(F.col("before").alias("i")).distinct()
 
 
+def shrunk_creators(g: Frames, gone: DataFrame) -> DataFrame:
+    """i: creators that lose a product when nodes (i) go, and stay themselves."""
+    lost = g.node.join(gone, "i", "left_semi").filter("creator IS NOT NULL").select(F.col("creator").alias("i")).distinct()
+    return lost.join(gone, "i", "left_anti")
+
+
 def deletable(g: Frames) -> DataFrame:
     """(i, layer): detached nodes removed round by round, once they have no products and no sinks left."""
     detached = g.node.filter("detached").select("i")
@@ -111,29 +118,31 @@ def unused_tree_files(g: Frames) -> DataFrame:
     return nodes(g, "file").join(trees, "creator", "left_semi").join(used, "i", "left_anti").select("i", "label")
 
 
-def step_ancestors(g: Frames) -> DataFrame:
-    """i, anc, depth, state, holding: ancestors of steps that are steps themselves."""
-    a = fixpoint.ancestors(parents(g))
-    s = g.step.select(F.col("node").alias("anc"), "state", "holding")
-    return a.join(g.step.select(F.col("node").alias("i")), "i", "left_semi").join(s, "anc").select("i", "anc", "depth", "state", "holding")
+def chains(g: Frames) -> DataFrame:
+    """node, safe, safe_ignoring_hold, unsafe (the nearest ancestor that breaks the chain), pending (whether an ancestor is), of
+    every step, from one walk up the creators; only ancestors that are steps count."""
+    ok = S.chain_ok(F.col("state"))
+    whole = ok & (F.col("holding") == 0)
+    facts = g.step.select(F.col("node").alias("i"), whole.alias("safe"), ok.alias("safe_ignoring_hold"), F.when(~whole, F.col("node")).alias("unsafe"), (F.col("state") == S.PENDING).alias("pending"))
+    above = fixpoint.uplift(parents(g), facts, {"safe": "and", "safe_ignoring_hold": "and", "unsafe": "first", "pending": "or"})
+    df = g.step.select("node").join(above, F.col("node") == F.col("i"), "left")
+    none = {"safe": True, "safe_ignoring_hold": True, "pending": False}
+    return df.select("node", "unsafe", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()))
 
 
 def safety(g: Frames) -> DataFrame:
     """node, safe, safe_ignoring_hold: all step ancestors run or have succeeded, and none holds its products back."""
-    ok = S.chain_ok(F.col("state"))
-    chain = step_ancestors(g).groupBy(F.col("i").alias("node")).agg(F.bool_and(ok & (F.col("holding") == 0)).alias("safe"), F.bool_and(ok).alias("safe_ignoring_hold"))
-    return g.step.select("node").join(chain, "node", "left").select("node", F.coalesce("safe", F.lit(True)).alias("safe"), F.coalesce("safe_ignoring_hold", F.lit(True)).alias("safe_ignoring_hold"))
+    return chains(g).select("node", "safe", "safe_ignoring_hold")
 
 
 def unsafe_ancestor(g: Frames) -> DataFrame:
     """node, anc: the nearest ancestor that breaks the chain."""
-    broken = step_ancestors(g).filter(~(S.chain_ok(F.col("state")) & (F.col("holding") == 0)))
-    return broken.groupBy(F.col("i").alias("node")).agg(F.min_by("anc", "depth").alias("anc"))
+    return chains(g).filter("unsafe IS NOT NULL").select("node", F.col("unsafe").alias("anc"))
 
 
 def creator_pending(g: Frames) -> DataFrame:
     """Steps with a pending ancestor."""
-    return step_ancestors(g).filter(F.col("state") == S.PENDING).select(F.col("i").alias("node")).distinct()
+    return chains(g).filter("pending").select("node")
 
 
 def step_edges(g: Frames) -> DataFrame:
@@ -175,7 +184,16 @@ def mark_pending(g: Frames, changed: DataFrame) -> DataFrame:
     return steps.filter("old != new").unionByName(files)
 
 
+def to_revisit(g: Frames, files: DataFrame) -> DataFrame:
+    """node: steps whose need or tail a change of files (i) may touch: the steps that use them, and all that these depend on."""
+    users = g.dependency.join(files, F.col("source") == files.i, "left_semi").select(F.col("sink").alias("i")).join(g.step, F.col("i") == F.col("node"), "left_semi").distinct()
+    back = step_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return fixpoint.reach_from(back, users).select(F.col("i").alias("node"))
+
+
 def leaf_layers(edges: DataFrame) -> DataFrame:
-    """(i, layer) of a module graph (src imports dst): leaves import nothing that is left; what is absent is on or above a cycle."""
-    every = edges.select(F.col("src").alias("i")).unionByName(edges.select(F.col("dst").alias("i"))).distinct()
-    return fixpoint.peel(every, edges.select(F.col("src").alias("i"), F.col("dst").alias("by")))
+    """i, layer, cyclic of a module graph (src imports dst): leaves import nothing that is left; what is on a cycle or above one
+    has no layer and is reported as cyclic."""
+    every = stored(edges.select(F.col("src").alias("i")).unionByName(edges.select(F.col("dst").alias("i"))).distinct())
+    layers = fixpoint.peel(every, edges.select(F.col("src").alias("i"), F.col("dst").alias("by")))
+    return every.join(layers, "i", "left").select("i", "layer", F.col("layer").isNull().alias("cyclic"))

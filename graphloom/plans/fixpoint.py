@@ -1,50 +1,48 @@
-"""Fixpoints over edge frames (src, dst): closures, ancestor walks, forests, longest paths, peeling.
+"""Fixpoints over edge frames (src, dst): closures, folds over ancestors, forests, sweeps along a DAG, peeling.
 
 Each loop is driven from the driver by small counts only; what grows stays in frames. Several hops are planned per job, since
-a job's fixed cost outweighs a hop on narrow frontiers. All loops end on cyclic graphs.
+a job's fixed cost outweighs a hop on narrow frontiers; a hop's frame is read once by the next, so plans grow linearly. What is
+settled leaves the loop. All loops end on cyclic graphs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stored import stored
 
-HOPS = 5
+HOPS = 6
+#: Layers that a job of a sweep settles.
+LAYERS = 10
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def reach(edges: DataFrame, seeds: DataFrame, include_seeds: bool = True, hops: int = HOPS) -> DataFrame:
-    """(root, i): what each root's seeds (root, i) reach. Semi-naive: only new pairs are expanded."""
+    """(root, i): what each root's seeds (root, i) reach. Semi-naive: a job goes on from what the job before met in its last hop."""
     edges = stored(edges.select("src", "dst").distinct())
-    seen = stored(seeds.select("root", "i").distinct())
-    parts = [seen] if include_seeds else []
-    known, frontier = seen, seen
     if not include_seeds:
-        known = None
+        seeds = seeds.join(edges, seeds.i == edges.src).select("root", F.col("dst").alias("i"))
+    frontier = stored(seeds.select("root", "i").distinct())
+    parts = [frontier]
     while True:
-        layers, layer = [], frontier
+        layer = frontier.select("root", "i", F.lit(0).alias("hop"))
         for _ in range(hops):
-            layer = layer.join(edges, layer.i == edges.src).select("root", F.col("dst").alias("i")).distinct()
-            layers.append(layer)
-        grown = layers[0]
-        for x in layers[1:]:
-            grown = grown.unionByName(x)
-        grown = grown.distinct()
-        if known is not None:
-            grown = grown.join(known, ["root", "i"], "left_anti")
-        grown = stored(grown)
+            # a pair and the next ones come from one join
+            step = F.array(F.struct("i", "hop"), F.struct(F.col("dst").alias("i"), (F.col("hop") + 1).alias("hop")))
+            both = layer.join(edges, layer.i == edges.src, "left").select("root", F.explode(step).alias("x")).select("root", "x.i", "x.hop")
+            layer = both.filter("i IS NOT NULL").groupBy("root", "i").agg(F.min("hop").alias("hop"))
+        grown = stored(layer.filter("hop > 0").join(_union(parts), ["root", "i"], "left_anti"))
         if grown.isEmpty():
-            break
-        parts.append(grown)
-        known = grown if known is None else known.unionByName(grown)
-        frontier = grown
-    if not parts:
-        return seen.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return _union(parts)
+        parts.append(grown.select("root", "i"))
+        frontier = grown.filter(F.col("hop") == hops).select("root", "i")
 
 
 def reach_from(edges: DataFrame, seeds: DataFrame, include_seeds: bool = True) -> DataFrame:
@@ -53,78 +51,109 @@ def reach_from(edges: DataFrame, seeds: DataFrame, include_seeds: bool = True) -
     return reach(edges, one, include_seeds).select("i")
 
 
-def ancestors(parents: DataFrame) -> DataFrame:
-    """(i, anc, depth): all proper ancestors of every i in a forest (i, parent), by doubling: log2(depth) joins."""
-    pairs = stored(parents.filter("parent IS NOT NULL AND parent != i").select("i", F.col("parent").alias("anc"), F.lit(1).alias("depth")))
-    while True:
-        up = pairs.select(F.col("i").alias("anc"), F.col("anc").alias("top"), F.col("depth").alias("more"))
-        far = pairs.join(up, "anc").select("i", F.col("top").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))
-        both = stored(pairs.unionByName(far).groupBy("i", "anc").agg(F.min("depth").alias("depth")))
-        if both.count() == pairs.count():
-            return both
-        pairs = both
+def uplift(parents: DataFrame, facts: DataFrame, how: dict[str, str]) -> DataFrame:
+    """i and the columns of how, folded over the proper ancestors of every i in a forest (i, parent), nearest first: 'and', 'or',
+    or 'first' (that isn't null). facts has i and the columns; null adds nothing, and what has no ancestor is absent.
 
+    Pointers of the nodes that have children are doubled, so log2(depth) joins of a row per such node; all other nodes join once.
+    """
 
-def forest_roots(parents: DataFrame, roots: DataFrame) -> DataFrame:
-    """(i, root): the root that each i of an out-degree-1 graph (i, parent) ends at; roots has i. What runs into a cycle is absent.
+    def fold(c: str, near: Column, far: Column) -> Column:
+        both = {"and": near & far, "or": near | far, "first": near}[how[c]]
+        return F.coalesce(both, near, far)
 
-    Pointers are doubled until none that isn't at a root moves on, log2(n) rounds at most.
-    """
-    at_root = roots.select(F.col("i").alias("to"))
-    ptr = parents.select("i", F.col("parent").alias("to")).unionByName(roots.select("i", F.col("i").alias("to")))
-    ptr = stored(ptr)
-    open_before = -1
+    cols = list(how)
+    up = parents.filter("parent IS NOT NULL AND parent != i").select("i", F.col("parent").alias("to"))
+    up = stored(up.join(facts.select(F.col("i").alias("to"), *cols), "to", "left").select("i", "to", *cols))
+    inner = stored(up.join(up.select(F.col("to").alias("i")).distinct(), "i", "left_semi"))
+    moved_before = -1
     while True:
-        hop = ptr.select(F.col("i").alias("to"), F.col("to").alias("next"))
-        ptr = stored(ptr.join(hop, "to", "left").select("i", F.coalesce("next", "to").alias("to")))
-        left = ptr.join(at_root, "to", "left_anti").count()
-        if left in (0, open_before):
+        hop = inner.select(F.col("i").alias("to"), F.col("to").alias("next"), *(F.col(c).alias(f"far_{c}") for c in cols))
+        further = inner.join(hop, "to", "left")
+        inner = stored(further.select("i", F.coalesce("next", "to").alias("to"), *(fold(c, F.col(c), F.col(f"far_{c}")).alias(c) for c in cols), F.col("next").isNotNull().alias("moved")))
+        moved = inner.filter("moved").count()
+        inner = inner.drop("moved")
+        if moved in (0, moved_before):  # the same number moves on cycles only
             break
-        open_before = left
-    return ptr.join(at_root, "to", "left_semi").select("i", F.col("to").alias("root"))
+        moved_before = moved
+    top = inner.select(F.col("i").alias("to"), *(F.col(c).alias(f"far_{c}") for c in cols))
+    return up.join(top, "to", "left").select("i", *(fold(c, F.col(c), F.col(f"far_{c}")).alias(c) for c in cols))
 
 
-def relax(values: DataFrame, edges: DataFrame, how: dict[str, str], rounds: int = HOPS, limit: int = 100_000) -> DataFrame:
-    """i and the columns of how, raised along edges until stable: the own value max the users' (how 'max'), or the own value
-    plus the users' largest ('sum'). All columns go through one loop.
+def forest_roots(parents: DataFrame, roots: DataFrame) -> DataFrame:
+    """(i, root): the root that each i of an out-degree-1 graph (i, parent) ends at; roots has i. What runs into a cycle is absent.
 
-    values has i and the columns; edges (src, dst) point from what is used to what uses it. For 'sum' the graph must be
-    acyclic; more than `limit` rounds raise.
+    Pointers are doubled until none that isn't at a root moves on, log2(n) rounds at most. Those at a root leave the loop, so
+    they don't meet on its key.
+    """
+    at_root = roots.select(F.col("i").alias("to")).withColumn("done", F.lit(True))
+    ptr = stored(parents.select("i", F.col("parent").alias("to")).join(at_root, "to", "left").select("i", "to", F.coalesce("done", F.lit(False)).alias("done")))
+    parts = [roots.select("i", F.col("i").alias("root")), ptr.filter("done").select("i", F.col("to").alias("root"))]
+    left_before = -1
+    while True:
+        open_ = ptr.filter("NOT done")
+        left = open_.count()
+        if left in (0, left_before):
+            return _union(parts)
+        left_before = left
+        hop = open_.select(F.col("i").alias("to"), F.col("to").alias("next"), F.lit(False).alias("ends"))
+        ends = _union(parts[1:]).select(F.col("i").alias("to"), F.col("root").alias("next"), F.lit(True).alias("ends"))
+        ptr = stored(open_.select("i", "to").join(hop.unionByName(ends), "to", "left").select("i", F.coalesce("next", "to").alias("to"), F.coalesce("ends", F.lit(False)).alias("done")))
+        parts.append(ptr.filter("done").select("i", F.col("to").alias("root")))
+
+
+def sweep(values: DataFrame, edges: DataFrame, how: dict[str, str], layers: int = LAYERS) -> DataFrame:
+    """i and the columns of how, raised along edges: the own value max the users' (how 'max'), or the own value plus the users'
+    largest ('sum'). What lies on a cycle or leads to one is absent.
+
+    values has i and the columns; edges (src, dst) point from what is used to what uses it. A node is settled once, as soon as
+    all its users are; it and the edges to it then leave the loop, so work follows what is left.
     """
     cols = list(how)
-    edges = stored(edges.select("src", "dst").distinct())
-    base = stored(values.select("i", *cols))
-    now, done = base, 0
+
+    def raised(c: str, most: Column) -> Column:
+        return F.col(c) + F.coalesce(most, F.lit(0)) if how[c] == "sum" else F.greatest(F.col(c), most)
+
+    nodes = stored(values.select("i", *cols))
+    ids = nodes.select("i")
+    edges = stored(edges.select("src", "dst").distinct().join(ids, F.col("src") == F.col("i"), "left_semi").join(ids, F.col("dst") == F.col("i"), "left_semi"))
+    most = {c: F.greatest(f"most_{c}", f"now_{c}") for c in cols}
+    left = nodes.select("i", *cols, *(F.lit(None).cast(nodes.schema[c].dataType).alias(f"most_{c}") for c in cols))
+    parts = [nodes.limit(0)]
     while True:
-        before = now
-        for _ in range(rounds):
-            users = now.select(F.col("i").alias("dst"), *cols)
-            most = edges.join(users, "dst").groupBy(F.col("src").alias("i")).agg(*(F.max(c).alias(f"most_{c}") for c in cols))
-            up = {c: F.col(c) + F.coalesce(f"most_{c}", F.lit(0)) if how[c] == "sum" else F.greatest(c, F.coalesce(f"most_{c}", c)) for c in cols}
-            now = base.join(most, "i", "left").select("i", *(e.alias(c) for c, e in up.items()))
+        users = edges.groupBy(F.col("src").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+        base = stored(left.join(users, "i", "left"))
+        now = base.filter("n IS NULL").select("i", *(raised(c, F.col(f"most_{c}")).alias(c) for c in cols))
+        if base.isEmpty():
+            break
+        for _ in range(layers - 1):
+            met = _met(edges, now, cols, count=True)
+            now = base.join(met, "i", "left").filter("n IS NULL OR n = met").select("i", *(raised(c, most[c]).alias(c) for c in cols))
         now = stored(now)
-        was = before.select("i", *(F.col(c).alias(f"was_{c}") for c in cols))
-        if now.join(was, "i").filter(" OR ".join(f"{c} != was_{c}" for c in cols)).isEmpty():
-            return now
-        done += rounds
-        if done > limit:
-            raise ValueError("the values don't settle: the graph has a cycle")
+        if now.isEmpty():
+            break
+        parts.append(now)
+        left = base.drop("n").join(now.select("i"), "i", "left_anti").join(_met(edges, now, cols), "i", "left").select("i", *cols, *(most[c].alias(f"most_{c}") for c in cols))
+        edges = stored(edges.join(now.select(F.col("i").alias("dst")), "dst", "left_anti"))
+    return _union(parts)
+
+
+def _met(edges: DataFrame, now: DataFrame, cols: list[str], count: bool = False) -> DataFrame:
+    """Per used node, the largest of the settled users' values, and how many are settled."""
+    users = edges.join(now.select(F.col("i").alias("dst"), *cols), "dst").groupBy(F.col("src").alias("i"))
+    return users.agg(*(F.max(c).alias(f"now_{c}") for c in cols), *([F.count(F.lit(1)).alias("met")] if count else []))
+
+
+def relax(values: DataFrame, edges: DataFrame, how: dict[str, str], layers: int = LAYERS) -> DataFrame:
+    """`sweep` over a graph without cycles; raises where there is one."""
+    values = stored(values)
+    out = stored(sweep(values, edges, how, layers))
+    if out.count() < values.count():
+        raise ValueError("the values don't settle: the graph has a cycle")
+    return out
 
 
 def peel(nodes: DataFrame, holds: DataFrame) -> DataFrame:
     """(i, layer): nodes (i) removed round by round once nothing left holds them; holds (i, by). What cycles hold up stays."""
-    left = stored(nodes.select("i"))
-    held = stored(holds.select("i", "by").distinct())
-    layers, k = [], 0
-    while True:
-        active = held.join(left.select(F.col("i").alias("by")), "by", "left_semi")
-        free = stored(left.join(active, "i", "left_anti").select("i", F.lit(k).alias("layer")))
-        if free.isEmpty():
-            break
-        layers.append(free)
-        left = stored(left.join(free, "i", "left_anti"))
-        k += 1
-    out = nodes.select("i", F.lit(0).alias("layer")).limit(0)
-    for x in layers:
-        out = out.unionByName(x)
-    return out
+    depth = sweep(nodes.select("i", F.lit(1).alias("layer")), holds.select(F.col("i").alias("src"), F.col("by").alias("dst")), {"layer": "sum"})
+    return depth.select("i", (F.col("layer") - 1).alias("layer"))

@@ -1,3 +1,5 @@
+import pytest
+
 from graphloom.plans import fixpoint
 
 
@@ -24,9 +26,14 @@ def test_reach_is_idempotent(spark):
     assert pairs(fixpoint.reach_from(e, once)) == pairs(once) == {(k,) for k in range(2, 21)}
 
 
-def test_ancestors(spark):
-    p = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3), (5, None)], "i long, parent long")
-    assert pairs(fixpoint.ancestors(p)) == {(2, 1, 1), (3, 2, 1), (3, 1, 2), (4, 3, 1), (4, 2, 2), (4, 1, 3)}
+def test_uplift(spark):
+    # 1 <- 2 <- 3 <- 4 <- ... <- 9, 10 beside, 11 alone, 12 and 13 on a cycle with 14 below it
+    p = spark.createDataFrame([(1, 1), *((k + 1, k) for k in range(1, 9)), (10, 2), (11, None), (12, 13), (13, 12), (14, 12)], "i long, parent long")
+    facts = spark.createDataFrame([(k, k != 3, k == 4, k if k in (2, 4) else None) for k in range(1, 15) if k != 5], "i long, a boolean, o boolean, f long")
+    got = {r.i: (r.a, r.o, r.f) for r in fixpoint.uplift(p, facts, {"a": "and", "o": "or", "f": "first"}).collect()}
+    want = {2: (True, False, None), 3: (True, False, 2), 10: (True, False, 2), 4: (False, False, 2), 12: (True, False, None), 13: (True, False, None), 14: (True, False, None)}
+    want |= {k: (False, True, 4) for k in range(5, 10)}
+    assert got == want
 
 
 def test_forest_roots_leave_cycles_out(spark):
@@ -38,10 +45,29 @@ def test_forest_roots_leave_cycles_out(spark):
 def test_relax(spark):
     v = spark.createDataFrame([(k, k, k) for k in range(1, 8)], "i long, a long, b long")
     e = edges(spark, *((k, k + 1) for k in range(1, 7)))
-    assert pairs(fixpoint.relax(v, e, {"a": "max", "b": "sum"}, rounds=2)) == {(k, 7, sum(range(k, 8))) for k in range(1, 8)}
+    assert pairs(fixpoint.relax(v, e, {"a": "max", "b": "sum"}, layers=2)) == {(k, 7, sum(range(k, 8))) for k in range(1, 8)}
 
 
 def test_peel(spark):
     n = spark.createDataFrame([(k,) for k in range(1, 7)], "i long")
     holds = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 4)], "i long, by long")
     assert pairs(fixpoint.peel(n, holds)) == {(3, 0), (2, 1), (1, 2)}
+
+
+def test_sweep_leaves_cycles_out(spark):
+    v = spark.createDataFrame([(k, k) for k in range(1, 7)], "i long, a long")
+    # 1 -> 2 -> 3; 4 and 5 use each other; 6 is used by 4; an edge to what isn't there
+    e = edges(spark, (1, 2), (2, 3), (4, 5), (5, 4), (6, 4), (3, 99))
+    for layers in (1, 2, 9):
+        assert pairs(fixpoint.sweep(v, e, {"a": "sum"}, layers)) == {(3, 3), (2, 5), (1, 6)}
+    with pytest.raises(ValueError):
+        fixpoint.relax(v, e, {"a": "sum"})
+
+
+def test_long_chains(spark):
+    n = 40
+    e = edges(spark, *((k, k + 1) for k in range(n)))
+    v = spark.createDataFrame([(k, 1) for k in range(n + 1)], "i long, a long")
+    assert pairs(fixpoint.relax(v, e, {"a": "sum"}, layers=7)) == {(k, n + 1 - k) for k in range(n + 1)}
+    p = spark.createDataFrame([(k + 1, k) for k in range(n)], "i long, parent long")
+    assert pairs(fixpoint.forest_roots(p, spark.createDataFrame([(0,)], "i long"))) == {(k, 0) for k in range(n + 1)}
