@@ -146,3 +146,13 @@ def has_wildcard(text: Column) -> Column:
 
 def wildcard_names(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{\*(\w+)\}"), F.lit(1))))
+
+
+def has_anonymous(text: Column) -> Column:
+    """Whether wildcards are left once the named ones are gone."""
+    return has_wildcard(F.regexp_replace(text, r"\$\{\*\w+\}", ""))
+
+
+def ends_recursive(text: Column) -> Column:
+    """Whether the last component is `**`."""
+    return text.rlike(r"(^|/)\*\*$")

@@ -27,6 +27,14 @@ def need_buckets(g: Frames, needs: DataFrame) -> DataFrame:
     return s.groupBy("implied_need", (F.col("state") == S.SUCCEEDED).alias("succeeded")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_drift(g: Frames, kept: DataFrame, needs: DataFrame) -> DataFrame:
+    """implied_need, succeeded, stored, n: buckets whose stored count (kept: as need_buckets gives them) isn't what a recount gives."""
+    k = kept.select("implied_need", "succeeded", F.col("n").alias("stored"))
+    both = need_buckets(g, needs).join(k, ["implied_need", "succeeded"], "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.filter(zero("n") != zero("stored")).select("implied_need", "succeeded", zero("stored").alias("stored"), zero("n").alias("n"))
+
+
 def required_steps(buckets: DataFrame, threshold: int) -> DataFrame:
     n = F.when(F.col("implied_need") > threshold, F.col("n"))
     return buckets.agg(F.coalesce(F.sum(F.when(F.col("succeeded"), n)), F.lit(0)).alias("succeeded"), F.coalesce(F.sum(n), F.lit(0)).alias("required"))

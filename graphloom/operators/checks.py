@@ -63,3 +63,13 @@ def affected_steps(g: Frames, files: DataFrame) -> DataFrame:
     users = g.dependency.join(files, F.col("source") == files.i, "left_semi").join(g.step, F.col("sink") == F.col("node"), "left_semi").select(F.col("sink").alias("node"), F.lit("ready").alias("flag"))
     makers = g.dependency.join(files, F.col("sink") == files.i, "left_semi").join(g.step, F.col("source") == F.col("node"), "left_semi").select(F.col("source").alias("node"), F.lit("after").alias("flag"))
     return users.unionByName(makers).distinct()
+
+
+def derived_rules(g: Frames, hashes: DataFrame) -> DataFrame:
+    """Columns that others imply: only running steps hold, steps that ended aren't deferred, a succeeded step has deferred in a row
+    no more, and has_hash tells whether hashes (node) has a row."""
+    s = g.step.join(hashes.select("node").distinct().withColumn("stored", F.lit(True)), "node", "left")
+    ended = F.col("state").isin(S.SUCCEEDED, S.FAILED)
+    rules = {"holding": (F.col("state") != S.RUNNING) & (F.col("holding") != 0), "ended": ended & F.col("deferred"), "count": (F.col("state") == S.SUCCEEDED) & (F.col("defer_count") != 0), "has_hash": F.col("has_hash") != F.coalesce("stored", F.lit(False))}
+    broken = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())))
+    return s.select(F.explode(broken).alias("rule"), F.col("node").alias("i"))

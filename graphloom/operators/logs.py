@@ -128,3 +128,8 @@ def first_rule(path: Column, rules: list[tuple[str, bool]]) -> Column:
 def merged_config(values: DataFrame) -> DataFrame:
     """key, value of the source with the highest priority; values has key, value, priority."""
     return values.groupBy("key").agg(F.max_by("value", "priority").alias("value"))
+
+
+def ranked_profile(calls: DataFrame, by: str, top: int, min_pct: float = 0.0) -> DataFrame:
+    """f, own, cumulative, running_pct: functions by own or cumulative time; calls has f, own and cumulative."""
+    return ranked(calls.groupBy("f").agg(F.sum("own").alias("own"), F.sum("cumulative").alias("cumulative")), by, "f", top, min_pct)

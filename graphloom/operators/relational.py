@@ -166,21 +166,70 @@ def watch_dirs(g: Frames) -> DataFrame:
     return f.select(parent_dir(F.col("label")).alias("dir")).unionByName(trees).distinct()
 
 
+def relevant(state: Column, during_build: Column) -> Column:
+    """Whether a change of a file in that state matters: while building only what a user may have edited, else all but what the
+    build itself writes."""
+    return F.when(during_build, state.isin(S.CONFIRMED, S.MISSING)).otherwise(~state.isin(S.PLANNED, S.VOLATILE))
+
+
 def relevant_changes(g: Frames, patterns: DataFrame) -> DataFrame:
-    """Changed paths with whether they matter: known files that aren't planned or volatile, outputs not while building, else paths that a registered pattern (regex) matches."""
+    """Changed paths with whether they matter: files by their state, paths without a node if a registered pattern matches.
+
+    patterns has regex and base, the folder below which all matches lie; so paths meet only the patterns of their own folders.
+    """
     f = nodes(g, "file").join(g.file.select(F.col("node").alias("i"), "state"), "i").select(F.col("label").alias("path"), "state")
     paths = g.change.select("path", "during_build").distinct().join(f, "path", "left")
-    known = F.when(F.col("during_build"), F.col("state").isin(S.UNCONFIRMED, S.MISSING, S.CONFIRMED)).otherwise(~F.col("state").isin(S.PLANNED, S.VOLATILE))
-    # a pattern is data, so this is a nested loop over few patterns; only paths that no file node has get there
-    globbed = paths.filter("state IS NULL").join(patterns, F.rlike(F.col("path"), F.col("regex"))).select("path").distinct().withColumn("hit", F.lit(True))
+    above = paths.filter("state IS NULL").select("path", F.explode(F.concat(prefixes(F.col("path")), F.array(F.lit("./")))).alias("base"))
+    globbed = above.join(patterns.select("regex", "base"), "base").filter(F.rlike(F.col("path"), F.col("regex"))).select("path").distinct().withColumn("hit", F.lit(True))
+    known = relevant(F.col("state"), F.col("during_build"))
     return paths.join(globbed, "path", "left").select("path", "during_build", F.coalesce(known, F.col("hit"), F.lit(False)).alias("relevant"))
 
 
-def paths_below(g: Frames, folder: str) -> DataFrame:
-    """Known paths below a folder: file nodes and paths that patterns matched."""
-    upper = S.upper_bound(folder)
-    f = nodes(g, "file").select(F.col("label").alias("path"))
-    return f.unionByName(g.path.select("path")).filter(S.in_range(F.col("path"), F.lit(folder), F.lit(upper))).distinct()
+def paths_below(g: Frames, folder: str, during_build: bool = False) -> DataFrame:
+    """Paths below a folder whose disappearance matters: files in a relevant state (letters A-Z in either case), and what attached
+    steps' patterns have matched, in any case."""
+    folder = folder if folder.endswith("/") else folder + "/"
+    states = g.file.filter(relevant(F.col("state"), F.lit(during_build))).select(F.col("node").alias("i"))
+    f = nodes(g, "file").filter(S.like_prefix(F.col("label"), folder)).join(states, "i", "left_semi").select(F.col("label").alias("path"))
+    m = registrations(g).select(F.col("nglob").alias("k")).join(g.nglob_match.filter(F.col("path").startswith(folder)), F.col("k") == F.col("nglob")).select("path")
+    return f.unionByName(m).distinct()
+
+
+# Patterns that steps have registered
+
+
+def registrations(g: Frames) -> DataFrame:
+    """nglob, pattern, step (its label) of the patterns of attached steps."""
+    steps = nodes(g).select(F.col("i").alias("node"), F.col("label").alias("step"))
+    return g.nglob.select(F.col("i").alias("nglob"), "node", "pattern").join(steps, "node").select("nglob", "pattern", "step")
+
+
+def glob_violations(g: Frames, present: DataFrame) -> DataFrame:
+    """step, pattern, path, state, is_error of recorded matches that nothing static justifies; present: the paths that exist.
+
+    A match with a node must be a static file; any other state is an error. One without a node is justified in a static tree, as
+    a folder that holds a static tree or file, or if it is gone; else it is a warning, and its state is null.
+    """
+    m = registrations(g).join(g.nglob_match, "nglob").select("step", "pattern", "path")
+    f = nodes(g, "file").join(g.file.select(F.col("node").alias("i"), "state"), "i").select(F.col("label").alias("path"), "state")
+    static = F.col("state").isin(S.UNCONFIRMED, S.MISSING, S.CONFIRMED)
+    m = m.join(f, "path", "left")
+    errors = m.filter(F.col("state").isNotNull() & ~static)
+    bare = m.filter("state IS NULL")
+    open_ = bare.select("path").distinct().join(present.select("path").distinct(), "path", "left_semi")
+    trees = nodes(g, "st").select("label")
+    probe = F.when(F.col("path").endswith("/"), F.col("path")).otherwise(F.concat("path", F.lit("/")))
+    inside = open_.select("path", F.explode(prefixes(probe)).alias("label")).join(trees, "label", "left_semi").select("path").distinct()
+    holders = trees.unionByName(f.filter(static).select(F.col("path").alias("label"))).select(F.explode(F.concat(prefixes(F.col("label")), F.array(F.lit("./"), F.lit("/")))).alias("path")).distinct()
+    over = open_.filter("endswith(path, '/')").join(holders, "path", "left_semi")
+    loose = open_.join(inside, "path", "left_anti").join(over, "path", "left_anti")
+    warnings = bare.join(loose, "path", "left_semi")
+    return errors.unionByName(warnings).select("step", "pattern", "path", "state", F.col("state").isNotNull().alias("is_error"))
+
+
+def violation_groups(violations: DataFrame) -> DataFrame:
+    """step, pattern, n, n_errors, first: violations per registration; a group's rows stay where they are."""
+    return violations.groupBy("step", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_error").cast("int")).alias("n_errors"), F.min("path").alias("first"))
 
 
 # Joins
@@ -269,16 +318,11 @@ def short_resources(g: Frames) -> DataFrame:
     return g.step_resource.join(a, "name", "left").filter("available IS NULL OR available < units")
 
 
-def concurrent(g: Frames) -> DataFrame:
-    """Jobs of the same description whose intervals touch, from the job log; ties count. Within a description, only jobs of
-    nearby start hours are paired: intervals are cut into hour buckets that both overlap."""
-    width = 1_000_000_000
-    spans = job_spans(g).filter("stop IS NOT NULL")
-    b = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
-    x, y = b.alias("x"), b.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.description") == F.col("y.description")) & (F.col("x.job_i") < F.col("y.job_i")))
-    met = met.filter((F.col("x.start") <= F.col("y.stop")) & (F.col("y.start") <= F.col("x.stop")))
-    return met.select(F.col("x.job_i").alias("a"), F.col("y.job_i").alias("b")).distinct()
+def concurrent(pairs: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
+    """producer, consumer, overlapped of pairs: whether the consumer started before the producer stopped, ties included; false
+    where either time is missing. starts has job and start, stops has job and stop."""
+    df = pairs.join(stops.select(F.col("job").alias("producer"), "stop"), "producer", "left").join(starts.select(F.col("job").alias("consumer"), "start"), "consumer", "left")
+    return df.select("producer", "consumer", F.coalesce(F.col("start") <= F.col("stop"), F.lit(False)).alias("overlapped"))
 
 
 def job_spans(g: Frames) -> DataFrame:
@@ -304,8 +348,13 @@ def digest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change"))
 
 
-def disjoint(a: DataFrame, b: DataFrame) -> bool:
-    return a.join(b, "i", "left_semi").isEmpty()
+def overlaps(batches: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """name, disjoint: whether the two frames (i) of each named pair have no i in common."""
+    out = None
+    for name, (a, b) in batches.items():
+        one = a.join(b, "i", "left_semi").limit(1).agg((F.count(F.lit(1)) == 0).alias("disjoint")).select(F.lit(name).alias("name"), "disjoint")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def first_product(g: Frames, regex: str) -> DataFrame:
@@ -317,3 +366,21 @@ def group_matches(paths: DataFrame, regex: str, groups: int) -> DataFrame:
     """captures, paths: matching paths grouped by what the groups captured. Captures are unlikely to repeat without bound: one group is one set of paths by design."""
     cap = F.array(*(F.regexp_extract("path", regex, k) for k in range(1, groups + 1)))
     return paths.filter(F.col("path").rlike(regex)).groupBy(cap.alias("captures")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
+
+
+def browse(g: Frames, i: int) -> DataFrame:
+    """part, i, kind, label, state: a node, its creator, products, sources and sinks."""
+    n = with_state(g)
+    d = g.dependency
+    parts = {
+        "node": g.node.filter(F.col("i") == i).select("i"),
+        "creator": g.node.filter(F.col("i") == i).select(F.col("creator").alias("i")),
+        "product": g.node.filter((F.col("creator") == i) & (F.col("i") != i)).select("i"),
+        "source": d.filter(F.col("sink") == i).select(F.col("source").alias("i")),
+        "sink": d.filter(F.col("source") == i).select(F.col("sink").alias("i")),
+    }
+    ids = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("part"), "i")
+        ids = one if ids is None else ids.unionByName(one)
+    return ids.join(n, "i").select("part", "i", "kind", "label", "state")

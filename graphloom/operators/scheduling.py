@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import states as S
+from ..functions.patterns import Pattern
 from ..sources.frames import Frames
 from .aggregates import resources_free
 from .recursive import need_and_tail, safety
@@ -69,6 +70,23 @@ def usage_sum(usage: DataFrame) -> DataFrame:
     return usage.agg(F.sum("utime").alias("utime"), F.sum("stime").alias("stime"), F.max("wtime").alias("wtime"))
 
 
+def usage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """job, utime, stime, wtime used between two snapshots; frames have job, who ('self' or 'children'), utime, stime, wtime.
+
+    Processor times are those of the process and its children; the clock is one for both.
+    """
+    b = before.select("job", "who", *(F.col(c).alias(f"{c}0") for c in ("utime", "stime", "wtime")))
+    used = after.join(b, ["job", "who"])
+    total = lambda c: F.sum(F.col(c) - F.col(f"{c}0")).alias(c)
+    return used.groupBy("job").agg(total("utime"), total("stime"), F.max(F.when(F.col("who") == "self", F.col("wtime") - F.col("wtime0"))).alias("wtime"))
+
+
+def stepinfo_filter(info: DataFrame, role: str, pattern: Pattern) -> DataFrame:
+    """command, path, captures of the inp, out or vol paths of step descriptions that a pattern matches."""
+    paths = info.select("command", F.explode(F.array_distinct(role)).alias("path"))
+    return paths.filter(pattern.matches(F.col("path"))).select("command", "path", pattern.captures(F.col("path")).alias("captures"))
+
+
 def same_duration(old: Column, new: Column) -> Column:
     """Changes up to a tenth are ignored."""
     return F.abs(new - old) * 10 <= F.abs(old)

@@ -43,12 +43,20 @@ def seeds(g: Frames, condition: str) -> DataFrame:
     return g.node.filter(condition).select("i")
 
 
+def changed(g: Frames) -> DataFrame:
+    """i of the files that the change stream names."""
+    return R.nodes(g, "file", include_detached=True).join(g.change.select("path"), F.col("label") == F.col("path"), "left_semi").select("i")
+
+
+CHANGED = "SELECT i FROM node WHERE kind = 'file' AND label IN (SELECT path FROM change)"
+
+
 # Scans
 
 add("src_nodes", lambda g: R.nodes(g, "file"), "SELECT * FROM node WHERE kind = 'file' AND NOT detached")
 add("src_find", lambda g: R.find(g, "step", "order 7"), "SELECT * FROM node WHERE kind = 'step' AND label = 'order 7'")
 add("src_batch", lambda g: R.file_hashes(g, g.target_path), "SELECT label, state, digest FROM node JOIN file ON i = node WHERE kind = 'file' AND NOT detached AND label IN (SELECT path FROM target_path)")
-add("src_idlist", lambda g: R.hashes_to_check(g, seeds(g, "i % 50 = 7")), "SELECT f.node, n.label, f.digest FROM file f JOIN node n ON n.i = f.node WHERE f.node % 50 = 7")
+add("src_idlist", lambda g: R.hashes_to_check(g, changed(g)), f"SELECT f.node, n.label, f.digest FROM file f JOIN node n ON n.i = f.node WHERE f.node IN ({CHANGED})")
 add("src_joblog", lambda g: g.joblog, "SELECT * FROM joblog")
 add("src_sqllog", L.with_index, "SELECT s.*, x.query, x.module_name, x.line, x.plan FROM sqllog s LEFT JOIN sqllog_index x ON x.query_i = s.query_i")
 KEY = "CASE WHEN {0}.detached THEN '(' || {0}.kind || ':' || {0}.label || ')' ELSE {0}.kind || ':' || {0}.label END"
@@ -107,22 +115,38 @@ add(
     f"WITH cur AS ({CURRENT.replace('FROM range(0, 9)', 'FROM range(0, 9) AS r(id)')}) SELECT e.node, e.name, e.value, c.value AS now FROM env_var e LEFT JOIN cur c ON c.name = e.name WHERE e.value IS DISTINCT FROM c.value",
 )
 add("flt_rescan", R.files_to_rescan, "SELECT i, label, state, CASE WHEN state = 12 THEN 'CONFIRMED' ELSE 'EXTERNAL' END AS cause FROM node JOIN file ON node = i WHERE NOT detached AND state NOT IN (15, 18)")
-PATTERNS = [("supplier/1*/*.dat",), ("supplier/2?/${*part}.dat",)]
+PATTERNS = [("supplier/1*/*.dat",), ("supplier/2?/${*part}.dat",), ("**/9*.dat",)]
 
 
-def _relevant(g: Frames) -> DataFrame:
-    rows = [(Pattern(p).regex(),) for (p,) in PATTERNS]
-    return R.relevant_changes(g, g.spark.createDataFrame(rows, "regex string"))
+def _patterns(g: Frames, patterns: list[tuple[str]]) -> DataFrame:
+    return g.spark.createDataFrame([(Pattern(p).regex(), Pattern(p).base()) for (p,) in patterns], "regex string, base string")
 
 
 add(
     "flt_relevant",
-    _relevant,
+    lambda g: R.relevant_changes(g, _patterns(g, PATTERNS)),
     """WITH p AS (SELECT DISTINCT path, during_build FROM change), f AS (SELECT label AS path, state FROM node JOIN file ON node = i WHERE NOT detached)
-    SELECT p.path, p.during_build, CASE WHEN state IS NULL THEN regexp_full_match(p.path, 'supplier/1[^/]*/[^/]*\\.dat|supplier/2[^/]/[^/]+\\.dat')
-        WHEN during_build THEN state IN (12, 13, 14) ELSE state NOT IN (15, 18) END AS relevant FROM p LEFT JOIN f ON f.path = p.path""",
+    SELECT p.path, p.during_build, CASE WHEN state IS NULL THEN regexp_full_match(p.path, 'supplier/1[^/]*/[^/]*\\.dat|supplier/2[^/]/[^/]+\\.dat|(.*/|)9[^/]*\\.dat')
+        WHEN during_build THEN state IN (13, 14) ELSE state NOT IN (15, 18) END AS relevant FROM p LEFT JOIN f ON f.path = p.path""",
+)
+FOLDERS = ("supplier/3/", "out/10", "src1/", "OUT/")
+
+
+def _below(g: Frames) -> DataFrame:
+    parts = [R.paths_below(g, f, building).select(F.lit(f).alias("folder"), F.lit(building).alias("building"), "path") for f in FOLDERS for building in (False, True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+add(
+    "flt_relevant_under",
+    _below,
+    f"""WITH d AS (SELECT folder, building, CASE WHEN folder LIKE '%/' THEN folder ELSE folder || '/' END AS dir FROM (VALUES {", ".join(f"('{f}')" for f in FOLDERS)}) a(folder), (VALUES (false), (true)) b(building))
+    SELECT folder, building, n.label AS path FROM d JOIN node n ON starts_with(lower(n.label), lower(dir)) AND n.kind = 'file' AND NOT n.detached JOIN file f ON f.node = n.i AND CASE WHEN building THEN f.state IN (13, 14) ELSE f.state NOT IN (15, 18) END
+    UNION SELECT folder, building, m.path FROM d JOIN nglob_match m ON starts_with(m.path, dir) JOIN nglob g ON g.i = m.nglob JOIN node s ON s.i = g.node AND NOT s.detached""",
 )
-add("flt_relevant_under", lambda g: R.paths_below(g, "src1/en/"), "SELECT label AS path FROM node WHERE kind = 'file' AND NOT detached AND label >= 'src1/en/' AND label < 'src1/en0' UNION SELECT path FROM path WHERE path >= 'src1/en/' AND path < 'src1/en0'")
 add(
     "flt_watch_dirs",
     R.watch_dirs,
@@ -151,9 +175,21 @@ add("jn_resource_left", R.short_resources, SHORT)
 add("jn_log_index", lambda g: L.with_index(g).groupBy("module_name").agg(F.sum("nrecords").alias("n")), "SELECT module_name, CAST(sum(nrecords) AS BIGINT) AS n FROM sqllog s LEFT JOIN sqllog_index x ON x.query_i = s.query_i GROUP BY 1")
 add("jn_semi_batch", lambda g: g.path.join(g.path.filter("digest < '8'").select("path"), "path", "left_semi").select("path"), "SELECT path FROM path WHERE digest < '8'")
 SPANS = "(SELECT job_i, description, max(CASE WHEN event = 'START' THEN time_ns END) AS start, max(CASE WHEN event = 'END' THEN time_ns END) AS stop FROM joblog GROUP BY 1, 2)"
-add("jn_concurrent", lambda g: R.concurrent(g.with_(joblog=g.joblog.filter("job_i % 10 = 0"))), f"WITH s AS (SELECT * FROM {SPANS} q WHERE stop IS NOT NULL AND job_i % 10 = 0) SELECT x.job_i AS a, y.job_i AS b FROM s x JOIN s y ON x.description = y.description AND x.job_i < y.job_i AND x.start <= y.stop AND y.start <= x.stop")
-# jn_concurrent takes every tenth job, as its SQL does; this takes the whole job log
-add("jn_concurrent_all", R.concurrent, f"WITH s AS (SELECT * FROM {SPANS} q WHERE stop IS NOT NULL) SELECT x.job_i AS a, y.job_i AS b FROM s x JOIN s y ON x.description = y.description AND x.job_i < y.job_i AND x.start <= y.stop AND y.start <= x.stop")
+
+
+def _pairs(g: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each job as the producer of the first, tenth and thousandth one after it, and the jobs' times."""
+    t = R.job_spans(g).withColumnRenamed("job_i", "job")
+    pairs = t.select(F.col("job").alias("producer"), F.explode(F.array(F.col("job") + 1, F.col("job") + 10, F.col("job") + 1000)).alias("consumer"))
+    return pairs, t.select("job", "start"), t.select("job", "stop")
+
+
+add(
+    "jn_concurrent",
+    lambda g: R.concurrent(*_pairs(g)),
+    f"""WITH s AS {SPANS}, p AS (SELECT job_i AS producer, job_i + unnest([1, 10, 1000]) AS consumer FROM s)
+    SELECT producer, consumer, coalesce(c.start <= a.stop, false) AS overlapped FROM p LEFT JOIN s a ON a.job_i = producer LEFT JOIN s c ON c.job_i = consumer""",
+)
 
 # Aggregates
 
@@ -187,7 +223,7 @@ add("win_running_pct", lambda g: L.ranked(g.sqllog.groupBy("query_i").agg(F.sum(
 add("top_queries", lambda g: g.sqllog.groupBy("query_i").agg(F.sum("duration_ns").alias("t")).orderBy(F.desc("t"), "query_i").limit(5), "SELECT query_i, CAST(sum(duration_ns) AS BIGINT) AS t FROM sqllog GROUP BY 1 ORDER BY t DESC, query_i LIMIT 5")
 add("top_jobs", lambda g: L.top_jobs(g, 10), f"SELECT job_i, description, stop - start AS duration FROM {SPANS} q WHERE stop IS NOT NULL ORDER BY duration DESC, job_i LIMIT 10")
 add("lim_first_product", lambda g: R.first_product(g, Pattern("out/${*c}/*7.txt").regex()), f"SELECT file, label FROM {OUT} o WHERE NOT detached AND state <> 18 AND regexp_full_match(label, 'out/[^/]+/[^/]*7\\.txt') ORDER BY label LIMIT 1")
-add("srt_keys", lambda g: g.node.orderBy("kind", "label").select("kind", "label").limit(100), "SELECT kind, label FROM node ORDER BY kind, label LIMIT 100")
+add("srt_keys", lambda g: g.node.orderBy("kind", "label").select("kind", "label"), "SELECT kind, label FROM node ORDER BY kind, label")
 
 # Sets
 
@@ -204,31 +240,34 @@ def _halves(g: Frames) -> tuple[DataFrame, DataFrame]:
 HALVES = f"WITH p AS (SELECT *, {DOC} FROM path), old AS (SELECT * FROM p WHERE {_OLD}), new AS (SELECT path, doc, CASE WHEN doc % 7 = 0 THEN 'changed' ELSE digest END AS digest FROM p WHERE {_NEW})"
 add("set_symdiff", lambda g: R.glob_delta(*_halves(g)), HALVES + " SELECT path, 'deleted' AS change FROM old WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT path, 'added' FROM new WHERE path NOT IN (SELECT path FROM old)")
 add("set_hash_diff", lambda g: R.digest_diff(*_halves(g)), HALVES + " SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'Added' WHEN n.path IS NULL THEN 'Deleted' WHEN o.digest IS NOT DISTINCT FROM n.digest THEN 'Same' ELSE 'Modified' END AS change FROM old o FULL JOIN new n ON n.path = o.path")
-add("set_disjoint", lambda g: g.dependency.select(F.col("sink").alias("i")).join(g.dependency.select(F.col("source").alias("i")), "i", "left_semi").distinct(), "SELECT DISTINCT sink AS i FROM dependency WHERE sink IN (SELECT source FROM dependency)")
+#: Batches of edges: whether no sink of the first ones is a source of the second ones.
+DISJOINT = [("all", "true", "true"), ("dynamic", "dynamic", "dynamic"), ("declared parts", "source % 10 = 7", "source % 10 = 7"), ("logs", "sink % 10 = 9", "true")]
+add(
+    "set_disjoint",
+    lambda g: R.overlaps({name: (g.dependency.filter(a).select(F.col("sink").alias("i")), g.dependency.filter(b).select(F.col("source").alias("i"))) for name, a, b in DISJOINT}),
+    " UNION ALL ".join(f"SELECT '{name}' AS name, NOT EXISTS (SELECT 1 FROM dependency WHERE ({a}) AND sink IN (SELECT source FROM dependency WHERE {b})) AS disjoint" for name, a, b in DISJOINT),
+)
 add("set_overlap", lambda g: g.env_var.filter("dynamic").select("name").intersect(g.env_var.filter("NOT dynamic").select("name")), "SELECT name FROM env_var WHERE dynamic INTERSECT SELECT name FROM env_var WHERE NOT dynamic")
 
 # Recursion
 
-_SEED = "kind = 'file' AND i % 1000 = 37"
-DOWN = "reach AS (SELECT i FROM node WHERE kind = 'file' AND i % 1000 = 37 UNION SELECT d.sink FROM reach JOIN dependency d ON d.source = reach.i)"
-add("gr_reach_sinks", lambda g: G.reach_sinks(g, seeds(g, _SEED)), f"WITH {DOWN} SELECT i FROM reach")
-add("gr_reach_multi", lambda g: G.outputs_to_clean(g, seeds(g, _SEED)), f"WITH {DOWN} SELECT n.i, n.label, f.state FROM reach JOIN file f ON f.node = reach.i JOIN node n ON n.i = reach.i WHERE f.state IN (16, 17, 18)")
+DOWN = f"reach AS ({CHANGED} UNION SELECT d.sink FROM reach JOIN dependency d ON d.source = reach.i)"
+add("gr_reach_sinks", lambda g: G.reach_sinks(g, changed(g)), f"WITH {DOWN} SELECT i FROM reach")
+add("gr_reach_multi", lambda g: G.outputs_to_clean(g, changed(g)), f"WITH {DOWN} SELECT n.i, n.label, f.state FROM reach JOIN file f ON f.node = reach.i JOIN node n ON n.i = reach.i WHERE f.state IN (16, 17, 18)")
 add("gr_match_paths", lambda g: G.match_paths(g, "supplier/3"), "SELECT i, label FROM node WHERE kind = 'file' AND (label = 'supplier/3' OR starts_with(lower(label), 'supplier/3/'))")
 
 
 def _edges(g: Frames) -> DataFrame:
-    steps = g.step.filter("node % 1000 = 5").select(F.col("node").alias("source"))
-    return steps.select("source", (F.col("source") + 3).alias("sink")).unionByName(steps.select((F.col("source") + 3).alias("source"), F.col("source").alias("sink")))
+    """Every dynamic edge once more as a candidate, and turned round."""
+    d = g.dependency.filter("dynamic").select("source", "sink")
+    return d.unionByName(d.select(F.col("sink").alias("source"), F.col("source").alias("sink")))
 
 
-add(
-    "gr_would_cycle",
-    lambda g: G.would_cycle(g, _edges(g)),
-    """WITH c AS (SELECT node AS source, node + 3 AS sink FROM step WHERE node % 1000 = 5 UNION ALL SELECT node + 3, node FROM step WHERE node % 1000 = 5),
-    reach AS (SELECT sink AS root, sink AS i FROM c UNION SELECT reach.root, d.sink FROM reach JOIN dependency d ON d.source = reach.i)
-    SELECT source, sink, EXISTS (SELECT 1 FROM reach r WHERE r.root = c.sink AND r.i = c.source) AS cyclic FROM c""",
-)
-add("gr_check_acyclic", lambda g: G.would_cycle(g, _edges(g)).groupBy("cyclic").agg(F.count(F.lit(1)).alias("n")), "WITH c AS (SELECT node AS source, node + 3 AS sink FROM step WHERE node % 1000 = 5 UNION ALL SELECT node + 3, node FROM step WHERE node % 1000 = 5), reach AS (SELECT sink AS root, sink AS i FROM c UNION SELECT reach.root, d.sink FROM reach JOIN dependency d ON d.source = reach.i), v AS (SELECT EXISTS (SELECT 1 FROM reach r WHERE r.root = c.sink AND r.i = c.source) AS cyclic FROM c) SELECT cyclic, count(*) AS n FROM v GROUP BY 1")
+CYCLIC = """WITH d AS (SELECT source, sink FROM dependency WHERE dynamic), c AS (SELECT source, sink FROM d UNION ALL SELECT sink, source FROM d),
+    reach AS (SELECT sink AS root, sink AS i FROM c UNION SELECT reach.root, d.sink FROM reach JOIN dependency d ON d.source = reach.i),
+    v AS (SELECT source, sink, EXISTS (SELECT 1 FROM reach r WHERE r.root = c.sink AND r.i = c.source) AS cyclic FROM c)"""
+add("gr_would_cycle", lambda g: G.would_cycle(g, _edges(g)), CYCLIC + " SELECT source, sink, cyclic FROM v")
+add("gr_check_acyclic", lambda g: G.would_cycle(g, _edges(g)).groupBy("cyclic").agg(F.count(F.lit(1)).alias("n")), CYCLIC + " SELECT cyclic, count(*) AS n FROM v GROUP BY 1")
 TREE = "below AS (SELECT i FROM node WHERE creator = {0} AND i <> creator UNION SELECT n.i FROM below JOIN node n ON n.creator = below.i)"
 add("gr_all_products", lambda g: G.all_products(g, seeds(g, "i = 12")), f"WITH {TREE.format(12)} SELECT i FROM below")
 add(
@@ -257,7 +296,7 @@ add("gr_safe", G.safety, f"WITH {ANC} {SAFE}")
 UNSAFE = "SELECT i AS node, arg_min(anc, depth) AS anc FROM anc WHERE NOT (state IN (22, 23) AND holding = 0) GROUP BY 1"
 add("gr_unsafe_anc", G.unsafe_ancestor, f"WITH {ANC} {UNSAFE}")
 add("gr_creator_pending", G.creator_pending, f"WITH {ANC} SELECT DISTINCT i AS node FROM anc WHERE state = 21")
-add("gr_propagate", lambda g: G.step_edges(g).join(seeds(g, "i % 100 = 5"), F.col("dst") == F.col("i"), "left_semi").select(F.col("src").alias("node")).distinct(), f"SELECT DISTINCT before AS node FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached AND t.step % 100 = 5")
+add("gr_propagate", lambda g: G.to_revisit(g, changed(g)), f"WITH hit AS (SELECT DISTINCT d.sink AS i FROM dependency d JOIN step s ON s.node = d.sink WHERE d.source IN ({CHANGED})), front AS (SELECT i AS node FROM hit UNION SELECT before FROM front JOIN ({TWO}) t ON t.step = front.node JOIN node n ON n.i = t.step AND NOT n.detached) SELECT node FROM front")
 NEED = f"""se AS (SELECT before AS src, step AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached),
     own AS (SELECT s.node, greatest(s.need, CASE WHEN EXISTS (SELECT 1 FROM {OUT} o WHERE o.step = s.node AND NOT o.detached AND o.state <> 18 AND o.label IN (SELECT path FROM target_path)) THEN 33
         WHEN s.need = 32 AND EXISTS (SELECT 1 FROM {OUT} o JOIN target_dir t ON o.label >= t.path AND o.label < t.upper WHERE o.step = s.node AND NOT o.detached AND o.state <> 18) THEN 33 ELSE 31 END) AS own, s.duration FROM step s),
@@ -266,18 +305,11 @@ NEED = f"""se AS (SELECT before AS src, step AS dst FROM ({TWO}) t JOIN node n O
 add("gr_need_tail", G.need_and_tail, f"WITH {NEED} SELECT node, implied_need, tail_time FROM need")
 MARK = """use AS (SELECT d.source AS src, d.sink AS dst FROM dependency d JOIN step s ON s.node = d.sink WHERE s.state NOT IN (22, 25)
     UNION ALL SELECT d.source, d.sink FROM dependency d JOIN step s ON s.node = d.source AND s.state IN (23, 24) JOIN file f ON f.node = d.sink AND f.state = 16),
-    hit AS (SELECT use.dst AS i FROM use JOIN node n ON n.i = use.src WHERE n.kind = 'file' AND n.i % 1000 = 37 UNION SELECT use.dst FROM hit JOIN use ON use.src = hit.i)"""
-add("gr_mark_pending", lambda g: G.mark_pending(g, seeds(g, _SEED)), f"WITH {MARK} SELECT s.node, s.state AS old, 21 AS new FROM hit JOIN step s ON s.node = hit.i WHERE s.state <> 21 UNION ALL SELECT f.node, 16, 17 FROM hit JOIN file f ON f.node = hit.i WHERE f.state = 16 AND f.node % 1000 <> 37")
-
+    hit AS (SELECT use.dst AS i FROM use WHERE use.src IN (CHANGED) UNION SELECT use.dst FROM hit JOIN use ON use.src = hit.i)""".replace("CHANGED", CHANGED)
+add("gr_mark_pending", lambda g: G.mark_pending(g, changed(g)), f"WITH {MARK} SELECT s.node, s.state AS old, 21 AS new FROM hit JOIN step s ON s.node = hit.i WHERE s.state <> 21 UNION ALL SELECT f.node, 16, 17 FROM hit JOIN file f ON f.node = hit.i WHERE f.state = 16 AND f.node NOT IN ({CHANGED})")
 
-def _layers(g: Frames) -> DataFrame:
-    chain = G.step_edges(g).filter("src % 40 = 5 OR dst % 40 = 5")
-    return G.leaf_layers(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
-
-add("gr_leaf_layers", _layers, f"WITH e AS (SELECT step AS src, before AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached AND (before % 40 = 5 OR step % 40 = 5)), v AS (SELECT src AS i FROM e UNION SELECT dst FROM e), walk AS (SELECT i, 0 AS layer FROM v UNION SELECT e.src, walk.layer + 1 FROM walk JOIN e ON e.dst = walk.i) SELECT i, CAST(max(layer) AS INT) AS layer FROM walk GROUP BY 1")
-# gr_leaf_layers peels only edges at steps with i % 40 = 5, as its SQL does; this peels all
-add("gr_leaf_layers_all", lambda g: G.leaf_layers(G.step_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))), f"WITH e AS (SELECT step AS src, before AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached), v AS (SELECT src AS i FROM e UNION SELECT dst FROM e), walk AS (SELECT i, 0 AS layer FROM v UNION SELECT e.src, walk.layer + 1 FROM walk JOIN e ON e.dst = walk.i) SELECT i, CAST(max(layer) AS INT) AS layer FROM walk GROUP BY 1")
+add("gr_leaf_layers", lambda g: G.leaf_layers(G.step_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))), f"WITH e AS (SELECT step AS src, before AS dst FROM ({TWO}) t JOIN node n ON n.i = t.step WHERE NOT n.detached), v AS (SELECT src AS i FROM e UNION SELECT dst FROM e), walk AS (SELECT i, 0 AS layer FROM v UNION SELECT e.src, walk.layer + 1 FROM walk JOIN e ON e.dst = walk.i) SELECT i, CAST(max(layer) AS INT) AS layer, false AS cyclic FROM walk GROUP BY 1")
 
 # Constraints
 
@@ -300,8 +332,9 @@ add("chk_edge_kind", lambda g: K.edge_kinds(_spoiled(g)), SPOILED + " SELECT 'ed
 add("chk_file_hash", lambda g: K.file_rules(_spoiled(g)), SPOILED + " SELECT 'hash' AS rule, node AS i FROM f2 WHERE state IN (14, 16, 17) AND digest IS NULL UNION ALL SELECT 'undeclared', node FROM f2 JOIN n2 ON n2.i = node WHERE state = 11 AND NOT detached")
 add("chk_step", lambda g: K.step_rules(_spoiled(g)), SPOILED + " SELECT 'deferred' AS rule, node AS i FROM s2 WHERE deferred AND state <> 21 UNION ALL SELECT 'range', node FROM s2 WHERE state NOT BETWEEN 21 AND 25 OR need NOT IN (31, 32, 34) UNION ALL SELECT 'negative', node FROM s2 WHERE duration < 0 OR defer_count < 0 OR holding < 0")
 add("chk_succeeded_outputs", lambda g: K.succeeded_outputs(g.with_(file=g.file.withColumn("state", F.when(F.col("node") % 1000 == 8, 17).otherwise(F.col("state"))))), f"SELECT o.step, o.label, CASE WHEN o.file % 1000 = 8 THEN 17 ELSE o.state END AS state FROM {OUT} o JOIN step s ON s.node = o.step WHERE s.state = 23 AND NOT o.detached AND CASE WHEN o.file % 1000 = 8 THEN 17 ELSE o.state END NOT IN (16, 18)")
-add("chk_flags", lambda g: K.affected_steps(g, seeds(g, _SEED)), "SELECT DISTINCT d.sink AS node, 'ready' AS flag FROM dependency d JOIN step s ON s.node = d.sink JOIN node n ON n.i = d.source WHERE n.kind = 'file' AND n.i % 1000 = 37 UNION SELECT DISTINCT d.source, 'after' FROM dependency d JOIN step s ON s.node = d.source JOIN node n ON n.i = d.sink WHERE n.kind = 'file' AND n.i % 1000 = 37")
-add("chk_counts", QUERIES["agg_need_bucket"], ORACLES["agg_need_bucket"])
+add("chk_flags", lambda g: K.affected_steps(g, changed(g)), f"SELECT DISTINCT d.sink AS node, 'ready' AS flag FROM dependency d JOIN step s ON s.node = d.sink WHERE d.source IN ({CHANGED}) UNION SELECT DISTINCT d.source, 'after' FROM dependency d JOIN step s ON s.node = d.source WHERE d.sink IN ({CHANGED})")
+add("chk_counts", lambda g: A.count_drift(g, A.need_buckets(g, g.step.select("node", F.col("need").alias("implied_need"))).withColumn("n", F.when(F.col("implied_need") == S.PLAN, F.col("n") + 1).otherwise(F.col("n"))), g.step.select("node", F.col("need").alias("implied_need"))), "SELECT need AS implied_need, s.state = 23 AS succeeded, count(*) + 1 AS stored, count(*) AS n FROM step s JOIN node ON i = s.node WHERE NOT detached AND need = 34 GROUP BY 1, 2")
+add("chk_derived", lambda g: K.derived_rules(g, g.step.filter("state = 23 OR node % 7 = 0").select("node")), "SELECT 'holding' AS rule, node AS i FROM step WHERE state <> 22 AND holding <> 0 UNION ALL SELECT 'ended', node FROM step WHERE state IN (23, 24) AND deferred UNION ALL SELECT 'count', node FROM step WHERE state = 23 AND defer_count <> 0 UNION ALL SELECT 'has_hash', node FROM step WHERE has_hash <> (state = 23 OR node % 7 = 0)")
 
 # State machine
 
@@ -319,30 +352,79 @@ add("dml_upsert", lambda g: C.apply_transitions(g, _updates(g)), UPDATES + f" SE
 add("dml_interrupted", lambda g: C.interrupted(g).select("node", "state"), "SELECT node, CASE WHEN state IN (22, 24, 25) THEN 21 ELSE state END AS state FROM step")
 add(
     "dml_create",
-    lambda g: C.created(g, g.node.filter("i % 500 = 5").select((F.col("i") + 1000000000).alias("i"), "kind", F.when(F.col("i") % 1000 == 5, F.col("label")).otherwise(F.concat("label", F.lit(" new"))).alias("label"), F.lit(13).cast("long").alias("creator"))),
-    """WITH w AS (SELECT i + 1000000000 AS i, kind, CASE WHEN i % 1000 = 5 THEN label ELSE label || ' new' END AS label FROM node WHERE i % 500 = 5)
+    lambda g: C.created(g, g.node.filter("kind <> 'root'").select((F.col("i") + 1000000000).alias("i"), "kind", F.when(F.col("i") % 1000 < 500, F.col("label")).otherwise(F.concat("label", F.lit(" new"))).alias("label"), F.lit(13).cast("long").alias("creator"))),
+    """WITH w AS (SELECT i + 1000000000 AS i, kind, CASE WHEN i % 1000 < 500 THEN label ELSE label || ' new' END AS label FROM node WHERE kind <> 'root')
     SELECT n.i, n.kind, n.label, CASE WHEN w.i IS NOT NULL AND n.detached THEN 13 ELSE n.creator END AS creator, n.detached AND w.i IS NULL AS detached FROM node n LEFT JOIN w ON w.kind = n.kind AND w.label = n.label
     UNION ALL SELECT w.i, w.kind, w.label, 13, false FROM w WHERE NOT EXISTS (SELECT 1 FROM node n WHERE n.kind = w.kind AND n.label = w.label)""",
 )
-add("dml_supply", lambda g: C.amend(g, g.target_path), "WITH f AS (SELECT label, state FROM node JOIN file ON node = i WHERE NOT detached) SELECT t.path, CASE WHEN state IN (14, 16) THEN 'ok' WHEN state = 12 THEN 'to_check' ELSE 'unavailable' END AS verdict FROM target_path t LEFT JOIN f ON f.label = t.path")
-add("dml_amend", lambda g: C.amend(g, g.change.select("path").distinct()), "WITH f AS (SELECT label, state FROM node JOIN file ON node = i WHERE NOT detached) SELECT t.path, CASE WHEN state IN (14, 16) THEN 'ok' WHEN state = 12 THEN 'to_check' ELSE 'unavailable' END AS verdict FROM (SELECT DISTINCT path FROM change) t LEFT JOIN f ON f.label = t.path")
+SUPPLY = "SELECT t.path, f.i AS file, CASE WHEN f.state IN (14, 16) THEN 'ok' WHEN f.state = 12 THEN 'to_check' ELSE 'unavailable' END AS verdict FROM ({0}) t LEFT JOIN (SELECT i, label, state FROM node JOIN file ON node = i WHERE NOT detached) f ON f.label = t.path"
+
+
+def _supplied(g: Frames) -> DataFrame:
+    return C.supply(g, g.target_path.unionByName(g.nglob_match.select("path").distinct()))
+
+
+add("dml_supply", _supplied, SUPPLY.format("SELECT path FROM target_path UNION ALL SELECT DISTINCT path FROM nglob_match"))
+
+
+def _wanted(g: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every step's dynamic inputs asked for again; a step starts at its node id and stops after its duration."""
+    w = R.inputs_of(g).filter("dynamic").select("step", F.col("label").alias("path"))
+    t = g.step.select(F.col("node").alias("job"), F.col("node").alias("start"), (F.col("node") + F.col("duration") % 500).alias("stop"))
+    return w, t.select("job", "start"), t.filter("job % 3 <> 0").select("job", "stop")
+
+
+add(
+    "dml_amend",
+    lambda g: C.amend(g, *_wanted(g)),
+    f"""WITH w AS (SELECT DISTINCT step, label AS path FROM {INP} x WHERE dynamic), s AS ({SUPPLY.format("SELECT DISTINCT path FROM w")})
+    SELECT w.step, w.path, CASE WHEN s.verdict = 'ok' AND f.state = 16 AND p.node % 3 <> 0 AND w.step <= p.node + p.duration % 500 THEN 'unfresh' ELSE s.verdict END AS verdict
+    FROM w JOIN s ON s.path = w.path LEFT JOIN file f ON f.node = s.file LEFT JOIN node n ON n.i = s.file LEFT JOIN step p ON p.node = n.creator""",
+)
+
+
+def _outputs(g: Frames) -> DataFrame:
+    """Every output declared again, by its step or by the next one, some also as volatile."""
+    o = R.outputs_of(g).select("step", F.col("label").alias("path"), "state", "file")
+    role = F.when(F.col("state") == S.VOLATILE, "VOLATILE").otherwise("OUTPUT")
+    a = o.select((F.col("step") + F.when(F.col("file") % 7 == 0, 10).otherwise(0)).alias("step"), "path", role.alias("role"))
+    fresh = o.select("step", F.concat("path", F.lit(".new")).alias("path"), role.alias("role"))
+    return a.unionByName(fresh).unionByName(o.filter("file % 11 = 0").select("step", F.concat("path", F.lit(".new")).alias("path"), F.lit("VOLATILE").alias("role")))
+
+
+add(
+    "dml_outputs",
+    lambda g: C.output_conflicts(g, _outputs(g), _patterns(g, [("out/1*/*.new",), ("vol/${*c}/5*",)])),
+    f"""WITH o AS (SELECT step, label AS path, state, file, CASE WHEN state = 18 THEN 'VOLATILE' ELSE 'OUTPUT' END AS role FROM {OUT} x),
+    d AS (SELECT DISTINCT * FROM (SELECT step + CASE WHEN file % 7 = 0 THEN 10 ELSE 0 END AS step, path, role FROM o UNION ALL SELECT step, path || '.new', role FROM o UNION ALL SELECT step, path || '.new', 'VOLATILE' FROM o WHERE file % 11 = 0) y),
+    c AS (SELECT label AS path, creator, CASE WHEN state IN (15, 16, 17) THEN 'OUTPUT' WHEN state = 18 THEN 'VOLATILE' ELSE 'STATIC' END AS r FROM node JOIN file ON node = i WHERE NOT detached)
+    SELECT step, path, 'output and volatile' AS rule FROM d GROUP BY 1, 2 HAVING count(DISTINCT role) > 1 UNION ALL SELECT d.step, d.path, 'already claimed' FROM d JOIN c ON c.path = d.path WHERE c.creator <> d.step OR c.r <> d.role
+    UNION ALL (SELECT DISTINCT d.step, d.path, 'matches a pattern' FROM d WHERE regexp_full_match(d.path, 'out/1[^/]*/[^/]*\\.new|vol/[^/]+/5[^/]*') AND NOT EXISTS (SELECT 1 FROM c WHERE c.path = d.path AND c.creator = d.step AND c.r = d.role))""",
+)
 add("dml_static", lambda g: C.declared_static(g, g.path.select("path").unionByName(g.change.select("path"))), "SELECT path FROM path UNION SELECT path FROM change EXCEPT SELECT label FROM node WHERE kind = 'file' AND NOT detached")
 add("dml_tree", lambda g: C.tree_conflicts(g, g.spark.createDataFrame([("supplier/3/sub/",), ("supplier/",), ("other/",)], "path string")), "SELECT t.path, n.label AS other FROM (VALUES ('supplier/3/sub/'), ('supplier/'), ('other/')) t(path) JOIN node n ON n.kind = 'st' AND NOT n.detached AND (starts_with(t.path, n.label) OR starts_with(n.label, t.path))")
-add("dml_reset", lambda g: C.reset_for_rerun(g, seeds(g, "kind = 'step' AND i % 100 = 35"))[2], "SELECT f.node, CASE WHEN f.state = 16 AND f.node IN (SELECT sink FROM dependency WHERE source % 100 = 35 AND source IN (SELECT node FROM step)) THEN 17 ELSE f.state END AS state, f.digest FROM file f")
-add("dml_complete", lambda g: C.completed(g, g.step.filter("node % 10 = 5").select("node", F.element_at(F.array(F.lit("SUCCEED"), F.lit("FAIL"), F.lit("DEFER")), (F.col("node") % 3 + 1).cast("int")).alias("outcome"))), "SELECT node, CASE WHEN node % 3 = 0 THEN 23 WHEN node % 3 = 1 OR defer_count + 1 > 3 THEN 24 ELSE 21 END AS state, node % 3 = 2 AND defer_count + 1 <= 3 AS deferred, CASE WHEN node % 3 = 2 THEN defer_count + 1 ELSE 0 END AS defer_count FROM step WHERE node % 10 = 5")
+add("dml_reset", lambda g: C.reset_for_rerun(g, g.step.filter("state IN (23, 24)").select(F.col("node").alias("i")))[2], "SELECT f.node, CASE WHEN f.state = 16 AND f.node IN (SELECT sink FROM dependency JOIN step s ON s.node = source AND s.state IN (23, 24)) THEN 17 ELSE f.state END AS state, f.digest FROM file f")
+add("dml_reset_edges", lambda g: C.reset_for_rerun(g, g.step.filter("state IN (23, 24)").select(F.col("node").alias("i")))[0], "SELECT d.i, d.source, d.sink, d.dynamic FROM dependency d WHERE NOT (d.dynamic AND d.sink IN (SELECT node FROM step WHERE state IN (23, 24)))")
+add(
+    "dml_complete",
+    lambda g: C.completed(g, g.step.select("node", F.element_at(F.array(F.lit("SUCCEED"), F.lit("FAIL"), F.lit("DEFER")), (F.col("node") % 3 + 1).cast("int")).alias("outcome")), cap=3),
+    f"""SELECT node, CASE WHEN node % 3 = 0 THEN 23 WHEN node % 3 = 2 AND defer_count + 1 <= 3 THEN 21 ELSE 24 END AS state,
+        node % 3 = 2 AND defer_count + 1 <= 3 AND node IN (SELECT step FROM {INP} x WHERE dynamic AND state NOT IN (14, 16)) AS deferred,
+        CASE node % 3 WHEN 0 THEN 0 WHEN 1 THEN defer_count ELSE defer_count + 1 END AS defer_count, node % 3 = 0 AS has_hash, 0 AS holding FROM step""",
+)
 add("dml_optional", lambda g: C.optional_reverted(g, g.step.select("node", F.col("need").alias("implied_need"))), f"SELECT o.step AS node, o.file, o.label FROM {OUT} o JOIN step s ON s.node = o.step WHERE s.need = 31 AND s.state IN (23, 24) AND o.state IN (16, 17, 18)")
-add("dml_targets", lambda g: C.missing_targets(g, g.target_path), f"SELECT path FROM target_path WHERE path NOT IN (SELECT label FROM {OUT} o WHERE NOT detached AND state <> 18)")
+add("dml_targets", lambda g: C.missing_targets(g, g.target_path.unionByName(g.path.select("path"))), f"SELECT path FROM (SELECT path FROM target_path UNION ALL SELECT path FROM path) t WHERE path NOT IN (SELECT label FROM {OUT} o WHERE NOT detached AND state <> 18)")
 add("dml_duration", lambda g: C.new_durations(g, g.step.select("node", (F.col("duration") + F.col("node") % 40000).alias("new"))), "SELECT node, duration + node % 40000 AS duration FROM step WHERE (node % 40000) * 10 > duration")
 add("dml_recycle", lambda g: C.recyclable(*(g.env_var.groupBy(F.col("node").cast("string").alias("label")).agg(F.collect_list("name").alias("env")).select("label", "env", F.when((F.col("label").cast("long") % 4 == 1) & F.lit(k == 0), F.array(F.lit("x"))).otherwise(F.array(F.lit("y"))).alias("inp")) for k in (0, 1))), "SELECT DISTINCT CAST(node AS STRING) AS label FROM env_var WHERE node % 4 <> 1")
 
 
 def _declared(g: Frames) -> DataFrame:
-    return g.node.filter("kind = 'file' AND i % 50 = 8").select("label", F.when(F.col("i") % 100 == 8, F.col("creator")).otherwise(F.lit(1)).alias("creator"), F.lit("OUTPUT").alias("role"))
+    return g.node.filter("kind = 'file'").select("label", F.when(F.col("i") % 20 == 8, F.col("creator")).otherwise(F.lit(1)).alias("creator"), F.lit("OUTPUT").alias("role"))
 
 
-add("claim_check", lambda g: C.claim_check(g, _declared(g)), "WITH c AS (SELECT label, creator, CASE WHEN state IN (15, 16, 17) THEN 'OUTPUT' WHEN state = 18 THEN 'VOLATILE' ELSE 'STATIC' END AS role FROM node JOIN file ON node = i WHERE NOT detached), d AS (SELECT label, CASE WHEN i % 100 = 8 THEN creator ELSE 1 END AS creator FROM node WHERE kind = 'file' AND i % 50 = 8) SELECT d.label, 'OUTPUT' AS role, CASE WHEN c.role IS NULL THEN 'new' WHEN c.creator = d.creator AND c.role = 'OUTPUT' THEN 'repeated' ELSE 'collides' END AS verdict FROM d LEFT JOIN c ON c.label = d.label")
-add("dup_step", lambda g: C.duplicate_steps(g, g.node.filter("i % 100 = 5").select("label")), "SELECT label, creator FROM node WHERE kind = 'step' AND NOT detached AND label IN (SELECT label FROM node WHERE i % 100 = 5)")
-add("dml_define", lambda g: C.define_errors(g, g.node.filter("i = 15 OR i = 18").select("label"), g.node.filter("i % 1000 = 8").select("label"), g.node.filter("i % 3000 = 8").select("label"), g.env_var.filter("dynamic").select("name"), g.env_var.filter("NOT dynamic AND node % 3 = 0").select("name")), "SELECT 'step exists' AS rule, label FROM node WHERE kind = 'step' AND NOT detached AND i IN (15, 18) UNION ALL SELECT DISTINCT 'output and volatile', label FROM node WHERE i % 1000 = 8 AND i % 3000 = 8 UNION ALL (SELECT DISTINCT 'used and overridden', name FROM env_var WHERE dynamic AND name IN (SELECT name FROM env_var WHERE NOT dynamic AND node % 3 = 0)) UNION ALL SELECT 'already claimed', a.label FROM (SELECT label FROM node WHERE i % 1000 = 8 UNION ALL SELECT label FROM node WHERE i % 3000 = 8) a WHERE a.label IN (SELECT label FROM node JOIN file ON node = i WHERE NOT detached)")
+add("claim_check", lambda g: C.claim_check(g, _declared(g)), "WITH c AS (SELECT label, creator, CASE WHEN state IN (15, 16, 17) THEN 'OUTPUT' WHEN state = 18 THEN 'VOLATILE' ELSE 'STATIC' END AS role FROM node JOIN file ON node = i WHERE NOT detached), d AS (SELECT label, CASE WHEN i % 20 = 8 THEN creator ELSE 1 END AS creator FROM node WHERE kind = 'file') SELECT d.label, 'OUTPUT' AS role, CASE WHEN c.role IS NULL THEN 'new' WHEN c.creator = d.creator AND c.role = 'OUTPUT' THEN 'repeated' ELSE 'collides' END AS verdict FROM d LEFT JOIN c ON c.label = d.label")
+add("dup_step", lambda g: C.duplicate_steps(g, g.node.select("label")), "SELECT label, creator FROM node WHERE kind = 'step' AND NOT detached")
+add("dml_define", lambda g: C.define_errors(g, g.node.filter("kind = 'step'").select("label"), g.node.filter("i % 10 = 8").select("label"), g.node.filter("i % 30 = 8").select("label"), g.env_var.filter("dynamic").select("name"), g.env_var.filter("NOT dynamic AND node % 3 = 0").select("name")), "SELECT 'step exists' AS rule, label FROM node WHERE kind = 'step' AND NOT detached UNION ALL SELECT DISTINCT 'output and volatile', label FROM node WHERE i % 30 = 8 UNION ALL (SELECT DISTINCT 'used and overridden', name FROM env_var WHERE dynamic AND name IN (SELECT name FROM env_var WHERE NOT dynamic AND node % 3 = 0)) UNION ALL SELECT 'already claimed', a.label FROM (SELECT label FROM node WHERE i % 10 = 8 UNION ALL SELECT label FROM node WHERE i % 30 = 8) a WHERE a.label IN (SELECT label FROM node JOIN file ON node = i WHERE NOT detached)")
 
 # Pending analysis: the last stages share one analysis
 
@@ -374,14 +456,19 @@ PEND = f"""{ANC}, {NEED}, st AS (SELECT node, CASE state WHEN 22 THEN 24 WHEN 25
     exact AS (SELECT p.root_kind, p.root, count(far.i) AS nblocked FROM pool p LEFT JOIN far ON far.root_kind = p.root_kind AND far.root = p.root GROUP BY 1, 2)"""
 
 
-_ANALYSED: dict[int, tuple[Frames, P.Pending]] = {}
+#: The latest analysis, as its stages are stored and many queries read them.
+_ANALYSED: list[tuple[Frames, P.Pending]] = []
 
 
 def analysed(g: Frames) -> P.Pending:
-    """One analysis per session and folder, as its stages are stored."""
-    if id(g) not in _ANALYSED:
-        _ANALYSED[id(g)] = (g, P.analyse(g))
-    return _ANALYSED[id(g)][1]
+    if not _ANALYSED or _ANALYSED[0][0] is not g:
+        _ANALYSED[:] = [(g, P.analyse(g))]
+    return _ANALYSED[0][1]
+
+
+def forget() -> None:
+    """Let the next query analyse anew."""
+    _ANALYSED.clear()
 
 
 def pend(name: str, run: Callable[[P.Pending], DataFrame], sql: str) -> None:
@@ -408,6 +495,15 @@ pend("gr_exact_counts", lambda p: P.exact_counts(p, P.ranked_roots(p, P.attribut
 pend("top_display", lambda p: P.top_roots(p, P.FILE, P.attribute(p)), "SELECT root, nblocked FROM exact WHERE root_kind = 0 ORDER BY nblocked DESC, CAST(root AS BIGINT) LIMIT 10")
 pend("top_inputs", P.blocking_inputs, "SELECT d.state, d.label AS path, d.detached, e.nblocked FROM (SELECT * FROM exact WHERE root_kind = 0 ORDER BY nblocked DESC, CAST(root AS BIGINT) LIMIT 10) e JOIN dead d ON CAST(d.i AS STRING) = e.root")
 pend("top_resources", P.blocking_resources, "SELECT e.root AS name, max(s.units) AS units_needed, max(s.available) AS units_available, max(e.nblocked) AS nblocked FROM exact e JOIN sh s ON s.name = e.root WHERE e.root_kind = 1 GROUP BY 1")
+pend("top_hidden", lambda p: P.hidden_counts(p), "SELECT r.root_kind, count(*) AS n_hidden, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS n_blocked FROM rk r LEFT JOIN (SELECT root_kind, root, row_number() OVER (PARTITION BY root_kind ORDER BY nblocked DESC, CASE WHEN root_kind = 0 THEN lpad(root, 20, '0') ELSE root END) AS k FROM exact) e ON e.root_kind = r.root_kind AND e.root = r.root AND e.k <= 10 WHERE e.root IS NULL GROUP BY 1")
+pend("snk_pending", lambda p: P.report(p).select("section", "key", "detail", "count"), """,
+    shown AS (SELECT * FROM (SELECT root_kind, root, nblocked, row_number() OVER (PARTITION BY root_kind ORDER BY nblocked DESC, CASE WHEN root_kind = 0 THEN lpad(root, 20, '0') ELSE root END) AS k FROM exact) e WHERE k <= 10),
+    hid AS (SELECT r.root_kind, count(*) AS n, sum(r.n) AS b FROM rk r WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.root_kind = r.root_kind AND s.root = r.root) GROUP BY 1)
+    SELECT 'inputs' AS section, CASE d.state WHEN 11 THEN 'UNDECLARED' WHEN 12 THEN 'UNCONFIRMED' WHEN 13 THEN 'MISSING' WHEN 14 THEN 'CONFIRMED' WHEN 15 THEN 'PLANNED' WHEN 16 THEN 'BUILT' WHEN 17 THEN 'OUTDATED' ELSE 'VOLATILE' END AS key,
+        CASE WHEN d.detached THEN '(' || d.label || ')' ELSE d.label END AS detail, CAST(s.nblocked AS STRING) AS count FROM shown s JOIN dead d ON s.root_kind = 0 AND CAST(d.i AS STRING) = s.root
+    UNION ALL SELECT 'resources', s.root, max(x.units) || ' needed, ' || coalesce(max(x.available) || ' available', 'none available'), CAST(max(s.nblocked) AS STRING) FROM shown s JOIN sh x ON s.root_kind = 1 AND x.name = s.root GROUP BY s.root
+    UNION ALL SELECT CASE root_kind WHEN 0 THEN 'inputs' ELSE 'resources' END, '', '... and ' || n || CASE root_kind WHEN 0 THEN ' more input(s)' ELSE ' more resource(s)' END, CASE WHEN b > 0 THEN '≥ ' || b ELSE '' END FROM hid
+    UNION ALL SELECT 'kinds', CASE root_kind WHEN 2 THEN 'failed' WHEN 3 THEN 'deferred' WHEN 4 THEN 'other' WHEN 5 THEN 'runnable' ELSE 'cyclic' END, min(u.label), CAST(count(*) AS STRING) FROM u LEFT JOIN att a ON a.step = u.i WHERE root_kind IS NULL OR root_kind IN (2, 3, 4, 5) GROUP BY root_kind""")
 pend("pend_summary", P.summary, "SELECT (SELECT count(*) FROM u) AS n_pending, (SELECT count(*) FROM dead) AS n_inputs, (SELECT count(DISTINCT name) FROM sh) AS n_resources, (SELECT count(*) FROM att) AS n_attributed, (SELECT count(*) FROM u WHERE i NOT IN (SELECT step FROM att)) AS n_cyclic")
 
 # Scheduling
@@ -426,7 +522,7 @@ add("exec_class", lambda g: g.step.select("node", D.run_outcome(F.col("node") %
 add("skip_decision", lambda g: D.skip_decision(g.step.select("node", (F.col("node") % 3).alias("inp_digest"), (F.col("node") % 5).alias("out_digest")), g.step.select("node", F.lit(0).alias("inp_digest"), F.lit(0).alias("out_digest"))), "SELECT node, node % 15 = 0 AS skip FROM step")
 add("hold_release", lambda g: D.holds(g.sqllog.select(F.col("transaction_i").alias("node"), F.when(F.col("execute_i") % 2 == 0, 1).otherwise(-1).alias("delta"))), "SELECT transaction_i AS node, CAST(sum(CASE WHEN execute_i % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS open, sum(CASE WHEN execute_i % 2 = 0 THEN 1 ELSE -1 END) > 0 AS holding FROM sqllog GROUP BY 1")
 add("step_info", D.step_info, f"SELECT s.node, coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM {INP} x WHERE x.step = s.node AND NOT dynamic), '') AS inp, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM env_var e WHERE e.node = s.node AND NOT dynamic), '') AS env FROM step s")
-add("missing_targets", QUERIES["dml_targets"], ORACLES["dml_targets"])
+add("missing_targets", lambda g: C.missing_target_dirs(g, g.target_dir.select("path").unionByName(R.watch_dirs(g).select(F.col("dir").alias("path")))), f"SELECT DISTINCT d.path FROM (SELECT path FROM target_dir UNION ALL SELECT label FROM node WHERE kind = 'st' AND NOT detached UNION ALL SELECT CASE WHEN regexp_extract(label, '^(.*/)', 1) = '' THEN './' ELSE regexp_extract(label, '^(.*/)', 1) END FROM node JOIN file ON node = i WHERE NOT detached AND state <> 18) d WHERE d.path NOT IN (SELECT regexp_extract(label, '^(.*/)', 1) FROM {OUT} o WHERE NOT detached AND state <> 18) AND d.path NOT IN (SELECT regexp_extract(label, '^([^/]*/)', 1) FROM {OUT} o WHERE NOT detached AND state <> 18)")
 add("usage_sum", lambda g: D.usage_sum(g.sqllog.select(F.col("duration_ns").alias("utime"), F.col("nrecords").alias("stime"), F.col("start_ns").alias("wtime"))), "SELECT CAST(sum(duration_ns) AS BIGINT) AS utime, CAST(sum(nrecords) AS BIGINT) AS stime, max(start_ns) AS wtime FROM sqllog")
 add("peak_mem", lambda g: L.peak(g.sqllog, "transaction_i", "duration_ns"), "SELECT transaction_i, max(duration_ns) AS peak FROM sqllog GROUP BY 1")
 _RULES = [("src1/en", True), ("src1", False), ("src2/", True), ("", False)]
@@ -434,7 +530,11 @@ add("path_filter", lambda g: g.path.select("path", L.first_rule(F.col("path"), _
 add("config_merge", lambda g: L.merged_config(g.sqllog.select((F.col("query_i") % 9).alias("key"), F.col("duration_ns").alias("value"), F.col("execute_i").alias("priority"))), "SELECT query_i % 9 AS key, arg_max(duration_ns, execute_i) AS value FROM sqllog GROUP BY 1")
 add("log_findings", lambda g: L.findings(g.sqllog_index.select(F.col("plan").alias("line")).distinct(), [("sort", "B-TREE"), ("scan", "^SCAN")]), "SELECT DISTINCT plan AS line, CASE WHEN plan LIKE '%B-TREE%' THEN 'sort' WHEN plan LIKE 'SCAN%' THEN 'scan' END AS label FROM sqllog_index WHERE plan LIKE '%B-TREE%' OR plan LIKE 'SCAN%'")
 add("perf_merge", lambda g: L.merged_profile(g.sqllog.select((F.col("query_i") % 3).alias("dso"), F.col("query_i").alias("symbol"), F.col("nrecords").alias("pct"), F.lit(200).alias("total"))).select("dso", "symbol", F.col("time").cast("long").alias("time")), "SELECT query_i % 3 AS dso, query_i AS symbol, CAST(sum(nrecords) * 2 AS BIGINT) AS time FROM sqllog GROUP BY 1, 2")
-add("prof_rank", QUERIES["win_running_pct"], ORACLES["win_running_pct"])
+add(
+    "prof_rank",
+    lambda g: L.ranked_profile(g.sqllog.select((F.col("query_i") % 12).alias("f"), F.col("duration_ns").alias("own"), (F.col("duration_ns") + F.col("nrecords")).alias("cumulative")), "own", 8).select("f", "own", "cumulative", F.round("running_pct", 6).alias("running_pct")),
+    "WITH q AS (SELECT query_i % 12 AS f, CAST(sum(duration_ns) AS BIGINT) AS own, CAST(sum(duration_ns + nrecords) AS BIGINT) AS cumulative FROM sqllog GROUP BY 1), r AS (SELECT *, sum(own) OVER (ORDER BY own DESC, f) AS run, sum(own) OVER () AS whole, row_number() OVER (ORDER BY own DESC, f) AS k FROM q) SELECT f, own, cumulative, round(100.0 * run / whole, 6) AS running_pct FROM r WHERE k <= 8",
+)
 
 
 def _calls(g: Frames) -> DataFrame:
@@ -443,7 +543,15 @@ def _calls(g: Frames) -> DataFrame:
 
 
 add("prof_attribute", _calls, "WITH w AS (SELECT query_i AS f, query_i AS a, 0 AS k FROM sqllog_index UNION ALL SELECT f, a // 2, k + 1 FROM w WHERE a NOT IN (1, 3, 5) AND k < 10) SELECT f, a AS \"to\" FROM w WHERE a IN (1, 3, 5)")
-add("browse_node", lambda g: R.with_state(g).filter("i = 15").join(R.with_creator(g).select("i", "creator_label"), "i"), "SELECT n.i, n.kind, n.label, s.state, c.label AS creator_label FROM node n LEFT JOIN step s ON s.node = n.i LEFT JOIN node c ON c.i = n.creator WHERE n.i = 15")
+add(
+    "browse_node",
+    lambda g: R.browse(g, 15),
+    """SELECT 'node' AS part, n.i, n.kind, n.label, s.state FROM node n LEFT JOIN step s ON s.node = n.i WHERE n.i = 15
+    UNION ALL SELECT 'creator', c.i, c.kind, c.label, s.state FROM node n JOIN node c ON c.i = n.creator LEFT JOIN step s ON s.node = c.i WHERE n.i = 15
+    UNION ALL SELECT 'product', n.i, n.kind, n.label, CASE n.kind WHEN 'file' THEN f.state ELSE s.state END FROM node n LEFT JOIN file f ON f.node = n.i LEFT JOIN step s ON s.node = n.i WHERE n.creator = 15 AND n.i <> 15
+    UNION ALL SELECT 'source', n.i, n.kind, n.label, CASE n.kind WHEN 'file' THEN f.state ELSE s.state END FROM dependency d JOIN node n ON n.i = d.source LEFT JOIN file f ON f.node = n.i LEFT JOIN step s ON s.node = n.i WHERE d.sink = 15
+    UNION ALL SELECT 'sink', n.i, n.kind, n.label, CASE n.kind WHEN 'file' THEN f.state ELSE s.state END FROM dependency d JOIN node n ON n.i = d.sink LEFT JOIN file f ON f.node = n.i LEFT JOIN step s ON s.node = n.i WHERE d.source = 15""",
+)
 
 # Streams, as batches
 
@@ -491,3 +599,76 @@ add("str_unchanged", _unchanged, HALVES + " SELECT o.path, CASE WHEN o.doc % 4 =
 add("fn_digest", lambda g: g.node.select("i", T.step_digest(F.array("kind", "label")).alias("digest")), "SELECT i, sha256(length(kind) || ':' || kind || length(label) || ':' || label) AS digest FROM node")
 add("fn_resources", lambda g: g.step_resource.select("node", T.resources(F.concat("name", F.lit(":"), F.col("units").cast("string"), F.lit(",x")))[F.col("name")].alias("units")), "SELECT node, units FROM step_resource")
 add("fn_parent", lambda g: g.node.select("i", R.parent_dir(F.col("label")).alias("dir")), "SELECT i, CASE WHEN regexp_extract(regexp_replace(label, '/$', ''), '^(.*/)', 1) = '' THEN './' ELSE regexp_extract(regexp_replace(label, '/$', ''), '^(.*/)', 1) END AS dir FROM node")
+
+# Patterns that steps have registered
+
+REGISTERED = "reg AS (SELECT g.i AS nglob, g.pattern, n.label AS step FROM nglob g JOIN node n ON n.i = g.node WHERE NOT n.detached)"
+
+
+VIOLATIONS = f"""{REGISTERED}, f AS (SELECT label AS path, state FROM node JOIN file ON node = i WHERE NOT detached AND kind = 'file'),
+    m AS (SELECT reg.step, reg.pattern, x.path, f.state FROM reg JOIN nglob_match x ON x.nglob = reg.nglob LEFT JOIN f ON f.path = x.path),
+    st AS (SELECT label FROM node WHERE kind = 'st' AND NOT detached),
+    vi AS (SELECT step, pattern, path, state, state IS NOT NULL AS is_error FROM m WHERE state NOT IN (12, 13, 14) OR (state IS NULL AND (path LIKE '%/' OR path IN (SELECT path FROM path WHERE regexp_matches(path, '[1245780]\\.txt$')))
+        AND NOT EXISTS (SELECT 1 FROM st WHERE starts_with(CASE WHEN m.path LIKE '%/' THEN m.path ELSE m.path || '/' END, st.label))
+        AND NOT (path LIKE '%/' AND (EXISTS (SELECT 1 FROM st WHERE starts_with(st.label, m.path)) OR EXISTS (SELECT 1 FROM f WHERE f.state IN (12, 13, 14) AND starts_with(f.path, m.path))))))"""
+
+
+def _found(g: Frames) -> DataFrame:
+    files = g.path.filter(F.col("path").rlike(r"[1245780]\.txt$")).select("path")
+    return R.glob_violations(g, files.unionByName(g.nglob_match.filter("endswith(path, '/')").select("path")))
+
+
+add("glob_registrations", R.registrations, f"WITH {REGISTERED} SELECT nglob, pattern, step FROM reg")
+add("glob_violations", _found, f"WITH {VIOLATIONS} SELECT step, pattern, path, state, is_error FROM vi")
+add("glob_severity", lambda g: _found(g).groupBy("is_error", "state").agg(F.count(F.lit(1)).alias("n")), f"WITH {VIOLATIONS} SELECT is_error, state, count(*) AS n FROM vi GROUP BY 1, 2")
+add("agg_violation_group", lambda g: R.violation_groups(_found(g)), f"WITH {VIOLATIONS} SELECT step, pattern, count(*) AS n, CAST(sum(is_error::INT) AS BIGINT) AS n_errors, min(path) AS first FROM vi GROUP BY 1, 2")
+
+# Hashes
+
+
+def _hashes(g: Frames) -> tuple[DataFrame, DataFrame]:
+    """Stored hashes of all files, and what the disk shows: some gone, new, touched, or changed in content or mode."""
+    f = g.file.select("node", "digest").join(g.node.select(F.col("i").alias("node"), F.col("label").alias("path")), "node")
+    old = f.select("path", "digest", F.lit(33188).alias("mode"), (F.col("node") % 1000).alias("size"), F.lit(5.5).alias("mtime"), F.col("node").alias("inode"))
+    n = F.col("node")
+    seen = f.filter("node % 17 <> 0 AND (digest IS NOT NULL OR node % 3 = 0)").select(
+        "path", F.when(n % 5 == 0, F.md5(F.lit("new").cast("binary"))).when(n % 13 == 0, F.lit("unread")).otherwise(F.coalesce("digest", F.lit("d"))).alias("digest"), F.when(n % 7 == 0, 33261).otherwise(33188).alias("mode"),
+        (n % 1000).alias("size"), F.when((n % 5 == 0) | (n % 11 == 0), 6.5).otherwise(5.5).alias("mtime"), n.alias("inode"),
+    )
+    return old, seen
+
+
+REFRESH = """f AS (SELECT f.node, f.digest AS d, n.label AS path, f.node % 17 <> 0 AND (f.digest IS NOT NULL OR f.node % 3 = 0) AS there,
+        CASE WHEN f.node % 5 = 0 THEN md5('new') WHEN f.node % 13 = 0 THEN 'unread' ELSE coalesce(f.digest, 'd') END AS s, CASE WHEN f.node % 7 = 0 THEN 33261 ELSE 33188 END AS m, f.node % 5 = 0 OR f.node % 11 = 0 OR f.node % 7 = 0 AS looked FROM file f JOIN node n ON n.i = f.node),
+    h AS (SELECT *, CASE WHEN d IS NOT NULL AND NOT looked THEN d ELSE s END AS now FROM f),
+    r AS (SELECT path, d, CASE WHEN NOT there THEN CASE WHEN d IS NULL THEN 'missing' ELSE 'vanished' END WHEN d IS NULL THEN 'appeared' WHEN d = now AND m = 33188 THEN 'same' ELSE 'changed' END AS change,
+        CASE WHEN there THEN now END AS digest, CASE WHEN there THEN m END AS mode, CASE WHEN there THEN node % 1000 END AS size FROM h)"""
+add("hash_refresh", lambda g: C.hash_refresh(*_hashes(g)), f"WITH {REFRESH} SELECT path, change, digest, mode, size FROM r")
+add(
+    "hash_messages",
+    lambda g: C.hash_messages(_hashes(g)[0], C.hash_refresh(*_hashes(g))),
+    f"WITH {REFRESH} SELECT path, CASE change WHEN 'vanished' THEN 'vanished' ELSE 'changed (' || concat_ws(', ', CASE WHEN d[1:8] <> digest[1:8] THEN 'digest ' || d[1:8] || ' -> ' || digest[1:8] END, CASE WHEN mode <> 33188 THEN 'mode 33188 -> ' || mode END) || ')' END AS message FROM r WHERE change IN ('changed', 'vanished')",
+)
+
+
+def _usage(g: Frames) -> DataFrame:
+    one = g.sqllog.groupBy(F.col("query_i").alias("job")).agg(F.sum("duration_ns").alias("utime"), F.sum("nrecords").alias("stime"), F.max("start_ns").alias("wtime"), F.min("start_ns").alias("w0"))
+    who = F.explode(F.array(F.lit("self"), F.lit("children"))).alias("who")
+    after = one.select("job", who, "utime", "stime", "wtime")
+    before = one.select("job", who, (F.col("job") * 10).alias("utime"), F.lit(1).alias("stime"), F.col("w0").alias("wtime"))
+    return D.usage_diff(before, after)
+
+
+add("usage_diff", _usage, "SELECT query_i AS job, CAST(2 * (sum(duration_ns) - 10 * query_i) AS BIGINT) AS utime, CAST(2 * (sum(nrecords) - 1) AS BIGINT) AS stime, max(start_ns) - min(start_ns) AS wtime FROM sqllog GROUP BY query_i")
+add(
+    "stepinfo_filter",
+    lambda g: D.stepinfo_filter(R.inputs_of(g).groupBy(F.col("step").cast("string").alias("command")).agg(F.collect_list("label").alias("inp")), "inp", Pattern("supplier/${*s}/${*p}[05].dat")).select("command", "path", F.array_join("captures", "|").alias("captures")),
+    f"SELECT DISTINCT CAST(step AS STRING) AS command, label AS path, regexp_extract(label, '^supplier/([^/]+)/', 1) || '|' || regexp_extract(label, '/([^/]*)[05]\\.dat$', 1) AS captures FROM {INP} x WHERE regexp_full_match(label, 'supplier/[^/]+/[^/]*[05]\\.dat')",
+)
+add(
+    "static_classify",
+    lambda g: C.static_classified(g.nglob.join(g.nglob_match, g.nglob.i == g.nglob_match.nglob, "left").select(F.col("pattern").alias("argument"), F.col("path").alias("match")).unionByName(g.path.select(F.col("path").alias("argument"), F.lit(None).cast("string").alias("match"))), g.path.filter("digest < '8'").select("path").unionByName(g.node.filter("kind IN ('file', 'st')").select(F.col("label").alias("path")))),
+    """WITH a AS (SELECT rtrim(path, '/') AS path FROM nglob_match WHERE nglob IN (SELECT i FROM nglob) UNION SELECT path FROM path),
+    p AS (SELECT rtrim(path, '/') AS path, bool_or(path LIKE '%/') AS folder FROM (SELECT path FROM path WHERE digest < '8' UNION ALL SELECT label FROM node WHERE kind IN ('file', 'st')) x GROUP BY 1)
+    SELECT DISTINCT 'pattern' AS kind, pattern AS path FROM nglob UNION ALL SELECT CASE WHEN folder THEN 'tree' WHEN folder IS NULL THEN 'absent' ELSE 'file' END, CASE WHEN folder THEN a.path || '/' ELSE a.path END FROM a LEFT JOIN p ON p.path = a.path""",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frames import SCHEMAS, Frames
 
-_PLANNED: dict[tuple[str, str], Frames] = {}
+_PLANNED: dict[tuple[str, str], tuple[tuple, Frames]] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 #: Frames in the order in which they build on each other.
@@ -68,6 +68,18 @@ FRAMES = {
         SELECT 'out/' || CAST(c_custkey AS STRING) || '/' AS path, 'out/' || CAST(c_custkey AS STRING) || '0' AS upper
         FROM {customer} WHERE c_custkey % 50 = 7""",
     "path": "SELECT source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS path, md5(text) AS digest FROM {documents}",
+    "nglob": """
+        SELECT c_custkey * 10 + 1 AS i, c_custkey * 10 + 4 AS node, 'out/' || CAST(c_custkey AS STRING) || '/**' AS pattern FROM {customer} WHERE c_custkey % 7 = 3
+        UNION ALL SELECT c_custkey * 10 + 2, c_custkey * 10 + 4, 'supplier/' || CAST(c_custkey % n AS STRING) || '/*' FROM {customer}, (SELECT count(*) AS n FROM {supplier}) AS s WHERE c_custkey % 11 = 5
+        UNION ALL SELECT c_custkey * 10 + 3, c_custkey * 10 + 4, 'src' || CAST(c_custkey % 5 AS STRING) || '/**/*.txt' FROM {customer} WHERE c_custkey % 50 = 1""",
+    "nglob_match": """
+        SELECT o_custkey * 10 + 1 AS nglob, 'out/' || CAST(o_custkey AS STRING) || '/' || CAST(o_orderkey AS STRING) || '.txt' AS path FROM {orders} WHERE o_custkey % 7 = 3
+        UNION ALL SELECT c_custkey * 10 + 1, 'out/' || CAST(c_custkey AS STRING) || '/' FROM {customer} WHERE c_custkey % 7 = 3
+        UNION ALL SELECT g.i, n.label FROM {nglob} AS g JOIN (
+            SELECT label, substr(label, 1, length(label) - length(regexp_extract(label, '[^/]*$', 0))) || '*' AS pattern FROM {node} WHERE kind = 'file') AS n ON n.pattern = g.pattern
+        UNION ALL SELECT i, substr(pattern, 1, length(pattern) - 1) FROM {nglob} WHERE pattern LIKE 'supplier/%'
+        UNION ALL SELECT i, 'supplier/' FROM {nglob} WHERE pattern LIKE 'supplier/%' AND i % 4 = 2
+        UNION ALL SELECT g.i, p.path FROM {nglob} AS g JOIN {path} AS p ON g.pattern = substr(p.path, 1, length(regexp_extract(p.path, '^[^/]*', 0))) || '/**/*.txt'""",
     "joblog": """
         SELECT time_ns, job_i, event, description FROM (
             SELECT event_id * 1000000 AS time_ns, event_id AS job_i, 'START' AS event, event_type AS description FROM {events}
@@ -89,11 +101,14 @@ FRAMES = {
 
 
 def frames(spark: SparkSession, sf_dir: str) -> Frames:
-    """The frames over a folder of Parquet tables; nothing is read before an action. Plans are kept per session and folder."""
+    """The frames over a folder of Parquet tables; none is read before an action. The latest plans of a session and folder are
+    kept as long as the tables' files stay as they are."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in TABLES]).select("path", "length", "modificationTime")
+    state = tuple(sorted((r.path, r.length, r.modificationTime) for r in files.collect()))  # a row per file of ten tables
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PLANNED:
-        _PLANNED[key] = _planned(spark, sf_dir)
-    return _PLANNED[key]
+    if key not in _PLANNED or _PLANNED[key][0] != state:
+        _PLANNED[key] = state, _planned(spark, sf_dir)
+    return _PLANNED[key][1]
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> Frames:

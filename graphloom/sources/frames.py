@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Frame schemas.
+#: Frame schemas. The columns of the log frames are those of the log files.
 SCHEMAS = {
     "node": "i BIGINT, kind STRING, label STRING, creator BIGINT, detached BOOLEAN",
     "dependency": "i BIGINT, source BIGINT, sink BIGINT, dynamic BOOLEAN",
@@ -18,6 +18,8 @@ SCHEMAS = {
     "target_path": "path STRING",
     "target_dir": "path STRING, upper STRING",
     "path": "path STRING, digest STRING",
+    "nglob": "i BIGINT, node BIGINT, pattern STRING",
+    "nglob_match": "nglob BIGINT, path STRING",
     "joblog": "time_ns BIGINT, job_i BIGINT, event STRING, description STRING",
     "sqllog": "transaction_i BIGINT, execute_i BIGINT, query_i BIGINT, start_ns BIGINT, duration_ns BIGINT, nrecords BIGINT",
     "sqllog_index": "query STRING, module_name STRING, line INT, plan STRING, query_i BIGINT",
@@ -40,6 +42,8 @@ class Frames:
     target_path: DataFrame
     target_dir: DataFrame
     path: DataFrame
+    nglob: DataFrame
+    nglob_match: DataFrame
     joblog: DataFrame
     sqllog: DataFrame
     sqllog_index: DataFrame
@@ -79,6 +83,15 @@ def write_stepinfo(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_variables(df: DataFrame, path: str) -> None:
+    """name, value (JSON text) as one JSON object; variables are few, so they meet in one task."""
+    from pyspark.sql import functions as F
+
+    one = df.select("name", F.coalesce("value", F.lit("null")).alias("value")).groupBy().agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("all"))
+    pair = lambda x: F.concat(F.regexp_extract(F.to_json(F.struct(x["name"].alias("n"))), r"^\{\"n\":(.*)\}$", 1), F.lit(": "), x["value"])
+    one.select(F.concat(F.lit("{"), F.array_join(F.transform("all", pair), ", "), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+
+
 def read_variables(spark: SparkSession, *paths: str) -> DataFrame:
     """name, value (JSON text) of JSON objects; of equal names, the later path wins."""
     from pyspark.sql import functions as F
@@ -101,5 +114,23 @@ def write_graph(g: Frames, path: str) -> None:
 
 
 def list_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """path, size, modified of all files below a folder, hidden ones included, without reading them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).selectExpr("path", "length AS size", "modificationTime AS modified")
+    """path, size, modified of all files below a folder, hidden ones included, without reading them, and of the folders that hold
+    them, whose paths end in '/' and whose size and time are null."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).selectExpr("path", "length AS size", "modificationTime AS modified")
+    parts = F.split("path", "/")
+    depth = len(folder.rstrip("/").split("://")[-1].lstrip("/").split("/"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
+    dirs = files.select(F.explode(above).alias("path"), F.size(parts).alias("n")).select("path").distinct()
+    inside = F.size(F.array_remove(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/"), "")) > depth
+    dirs = dirs.filter(inside).join(files.select("path").withColumn("path", F.concat("path", F.lit("/"))), "path", "left_anti")
+    return files.unionByName(dirs.select("path", F.lit(None).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified")))
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """path, digest (SHA-256 in hexadecimal), size of all files below a folder; a task reads a file at a time."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
