@@ -1,19 +1,23 @@
-"""Shared plumbing: inputs, the shared folder, materialised stages, Arrow batches."""
+"""Shared plumbing: inputs, the shared folder, materialised stages, Arrow batches, joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; bounds a worker's memory when texts are very long.
+#: Rows and bytes of an Arrow batch sent to Python; they bound a worker's memory when texts are very long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16_000_000
 #: Rows up to which a key table counted beforehand may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Rows of one key up to which they may meet in one task.
+HOT_ROWS = 10_000
 _OWN: dict[str, str] = {}
 
 
@@ -22,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in
+    this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -44,15 +51,44 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete what `written` gave, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/graphloom/" in f}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def in_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, and this package on the workers' path where they share the driver's disk."""
+    """Small Arrow batches, and this package on the workers' path where they share the driver's disk. A session that asks for
+    smaller batches keeps them; the settings last, as they are read when a query starts."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def keyed(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has at most `bound` rows, as counted; beyond that it is shuffled."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def join_known(rows: DataFrame, known: DataFrame, on: list[str], count: str, spread: Column, bound: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with the columns of known, null where it lacks the key; known has one row a key and, in `count`, how many rows have it.
+
+    A known of at most `bound` rows, as counted, is broadcast. Otherwise its hot keys are, of which there is at most one for
+    `hot_rows` rows; rows that found theirs are spread by `spread`, so that no key gathers more than hot_rows rows in a task.
+    """
+    cols = [c for c in known.columns if c not in on and c != count]
+    if known.limit(bound + 1).count() <= bound:
+        return rows.join(F.broadcast(known.drop(count)), on, "left").select(*rows.columns, *cols)
+    hot = keyed(known.filter(F.col(count) > hot_rows).select(*on, F.struct(*cols).alias("_gl_hot")), bound)
+    cold = known.filter(F.col(count) <= hot_rows).select(*on, F.lit(0).cast("long").alias("_gl_spread"), F.struct(*cols).alias("_gl_cold"))
+    df = rows.join(hot, on, "left").withColumn("_gl_spread", F.when(F.col("_gl_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(spread)))
+    found = F.coalesce("_gl_hot", "_gl_cold")
+    return df.join(cold, [*on, "_gl_spread"], "left").select(*rows.columns, *(found[c].alias(c) for c in cols))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, new_path
+from .common import in_batches, join_known, new_path, written
 
 ARCHIVE_ROWS = 4096
 ARCHIVE_BYTES = 16_000_000
@@ -192,8 +192,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     key = F.sha1(F.col("html").cast("binary"))
     # only payloads that occur twice have a row here, and copies are combined before the shuffle
-    copies = p.groupBy(key.alias("copied")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    dealt = p.withColumn("key", key).join(copies, F.col("key") == F.col("copied"), "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("first"))
+    copies = p.groupBy(key.alias("key")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(copies, "payloads")
+    dealt = join_known(p.withColumn("key", key), copies, ["key"], "n", F.col("page_id"))
+    dealt = dealt.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
