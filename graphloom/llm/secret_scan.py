@@ -17,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_known, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern, group that holds the secret, its least length. Kinds in the order that breaks ties.
@@ -50,17 +50,29 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
     return F.when(_hinted(text, kind) & F.rlike(text, p), arrays)
 
 
+#: Rows of a running total that are added one by one; totals of whole runs come before them.
+RUN = 128
+#: Code points of the blocks that a text is cut into before pieces are taken from it.
+TEXT_BLOCK = 1024
+
+
+def _running(values: str, start: str, fold: str, body: str) -> str:
+    """SQL for body, where {before} is the fold of what stands before i in the array `values` (v in body). Work grows with the
+    array's length times RUN, not with its square."""
+    before = f"aggregate(slice(v, i - i % {RUN} + 1, i % {RUN}), heads[cast(i div {RUN} as int)], {fold})"
+    return f"""transform(array({values}), v ->
+        transform(array(transform(sequence(0, cast(size(v) div {RUN} as int)), b -> aggregate(slice(v, b * {RUN} + 1, {RUN}), {start}, {fold}))), sums ->
+            transform(array(transform(sequence(0, cast(size(v) div {RUN} as int)), b -> aggregate(slice(sums, 1, b), {start}, {fold}))), heads ->
+                {body.replace("{before}", before)})[0])[0])[0]"""
+
+
 def _spans(m: str, kind: str, least: int) -> Column:
     """Spans of the matches whose secret is long enough; each start follows from the lengths before it."""
-    return F.expr(f"""
-        coalesce(filter(aggregate(sequence(0, size({m}.whole) - 1),
-            named_struct('at', 0, 'out', cast(array() as {SPAN})),
-            (acc, i) -> named_struct(
-                'at', acc.at + length({m}.between[i]) + length({m}.whole[i]),
-                'out', concat(acc.out, array(named_struct(
-                    'start', acc.at + length({m}.between[i]), 'kind', {ORDER.index(kind)},
-                    'end', acc.at + length({m}.between[i]) + length({m}.whole[i]), 'secret', {m}.secret[i]))))).out,
-            x -> length(x.secret) >= {least}), cast(array() as {SPAN}))""")
+    each = f"""transform(filter(sequence(0, size(v) - 1), i -> length({m}.secret[i]) >= {least}), i ->
+        transform(array({{before}} + length({m}.between[i])), at ->
+            named_struct('start', at, 'kind', {ORDER.index(kind)}, 'end', at + length({m}.whole[i]), 'secret', {m}.secret[i]))[0])"""
+    lengths = f"transform(sequence(0, size({m}.whole) - 1), i -> length({m}.between[i]) + length({m}.whole[i]))"
+    return F.expr(f"coalesce({_running(lengths, '0', '(a, x) -> a + x', each)}, cast(array() as {SPAN}))")
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -76,7 +88,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """secret_hash, n_docs, n_owners, n_repos, example of every secret; found has secret_hash, owner, repo.
+    """secret_hash, n_docs (occurrences), n_owners, n_repos, example of every secret; found has secret_hash, owner, repo.
 
     Occurrences are summed per (secret, repository, owner) before any shuffle, so a secret in a third of all rows is a few rows.
     """
@@ -92,6 +104,12 @@ def occurrences(hits: DataFrame) -> DataFrame:
     return each.select("row", "owner", "repo", F.sha2("s.secret", 256).alias("secret_hash"), F.col("s.kind").alias("kind"), F.struct("s.start", "s.kind", "s.end").alias("span"))
 
 
+def _judged(each: DataFrame, some: Column) -> DataFrame:
+    """Some occurrences with whether their secret is an example, as all decide; a secret of any number of rows is spread."""
+    owned = written(ownership(each).select("secret_hash", "n_docs", "example"), "owned")
+    return join_known(each.filter(some), owned, ["secret_hash"], "n_docs", F.col("row"))
+
+
 def _holders(owner: Column | None, repo: Column | None) -> tuple[Column, Column]:
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
@@ -114,7 +132,7 @@ def secret_spans(docs: DataFrame, owner: Column | None = None, repo: Column | No
     # one pass over the texts; what follows reads the spans only, and row ids are fixed once they are written
     hits = written(scanned(src, ["doc_id", "owner", "repo"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = occurrences(hits)
-    judged = each.join(ownership(each).select("secret_hash", "example"), "secret_hash")
+    judged = _judged(each, F.lit(True))
     live = ~F.col("example")
     per_row = judged.groupBy("row").agg(F.collect_list(F.when(live & (F.col("kind") >= len(BASE)), F.col("span"))).alias("added"), F.sum(live.cast("int")).cast("long").alias("n_live"), F.sum(F.col("example").cast("int")).cast("long").alias("n_example"))
     df = hits.select("row", "doc_id", _places("_gl_base").alias("base")).join(per_row, "row", "left")
@@ -133,18 +151,21 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = Non
     owner, repo = _holders(owner, repo)
     found = written(scanned(docs.withColumn("_gl_owner", owner).withColumn("_gl_repo", repo), [*cols, "_gl_owner", "_gl_repo"]).withColumn("_gl_row", F.monotonically_increasing_id()), "scanned")
     each = occurrences(found.select(F.col("_gl_row").alias("row"), F.col("_gl_owner").alias("owner"), F.col("_gl_repo").alias("repo"), "_gl_base", "_gl_extra"))
-    live = ownership(each).filter("NOT example").select("secret_hash")
-    added = each.filter(F.col("kind") >= len(BASE)).join(live, "secret_hash", "left_semi").groupBy(F.col("row").alias("_gl_row")).agg(F.collect_list("span").alias("_gl_added"))
+    live = _judged(each, F.col("kind") >= len(BASE)).filter("NOT example")
+    added = live.groupBy(F.col("row").alias("_gl_row")).agg(F.collect_list("span").alias("_gl_added"))
     none = F.expr(f"cast(array() as {PLACE})")
     further = F.size("_gl_extra") > 0
     df = found.filter(further).join(added, "_gl_row", "left").withColumn("_gl_added", F.coalesce("_gl_added", none))
     df = df.unionByName(found.filter(~further).withColumn("_gl_added", none)).withColumn("_gl_spans", F.array_sort(F.concat(_places("_gl_base"), F.col("_gl_added"))))
-    rebuilt = F.expr("""
-        aggregate(_gl_spans,
-            named_struct('at', 0, 'out', ''),
-            (acc, x) -> if(x.end <= acc.at, acc, named_struct('at', x.end,
-                'out', if(x.start < acc.at, acc.out, concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '%s')))),
-            acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))""" % mark.replace("'", "''"))
+    piece = f"""array_join(transform(if({{b}} > {{a}}, sequence(cast({{a}} div {TEXT_BLOCK} as int), cast(({{b}} - 1) div {TEXT_BLOCK} as int)), cast(array() as array<int>)), k ->
+        substring(_gl_blocks[k], greatest({{a}} - k * {TEXT_BLOCK}, 0) + 1, least({{b}} - k * {TEXT_BLOCK}, {TEXT_BLOCK}) - greatest({{a}} - k * {TEXT_BLOCK}, 0))), '')"""
+    # a span that begins within those before it adds no mark, and the text goes on where the furthest of them ends
+    each = "transform(sequence(0, size(v)), i -> transform(array({before}), done -> " + f"""
+        case when i = size(v) then {piece.format(a="done", b="length(text)")}
+            when _gl_spans[i].start < done then ''
+            else concat({piece.format(a="done", b="_gl_spans[i].start")}, '{mark.replace("'", "''")}') end)[0])"""
+    df = df.withColumn("_gl_blocks", F.when(F.size("_gl_spans") > 0, F.expr(f"regexp_extract_all(text, '(?s).{{1,{TEXT_BLOCK}}}', 0)")))
+    rebuilt = F.expr(f"array_join({_running('transform(_gl_spans, x -> x.end)', '0', '(a, x) -> greatest(a, x)', each)}, '')")
     hit = F.size("_gl_spans") > 0
     df = df.withColumn("_gl_new", F.when(hit, rebuilt).otherwise(F.col("text")))
     out = {c: F.col(f"`{c}`") for c in cols} | {"text": F.col("_gl_new")}

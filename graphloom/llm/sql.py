@@ -18,7 +18,7 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
 
 # the exponent is bisected to the smallest that repeats no source more than 1.2 times
-OP2 = f"""WITH RECURSIVE t AS (SELECT doc_id, source, CAST(greatest(len({WORDS}), 1) AS BIGINT) AS tokens, CAST(doc_id AS STRING) || ':' || length(text) AS key FROM documents),
+OP2 = f"""WITH RECURSIVE t AS (SELECT doc_id, source, CAST(greatest(len({WORDS}), 1) AS BIGINT) AS tokens, coalesce(CAST(doc_id AS STRING), '') || ':' || coalesce(length(text), 0) AS key FROM documents),
 s AS (SELECT source, sum(tokens) AS tokens, sum(tokens) / (SELECT sum(tokens) FROM t) AS p, (SELECT sum(tokens) FROM t) AS total FROM t GROUP BY 1),
 e AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
     SELECT k + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
@@ -26,9 +26,9 @@ e AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
 a AS (SELECT CASE WHEN (SELECT max(1 / p) / count(*) FROM s) <= 1.2 * (1 + 1e-12) THEN 0 ELSE (SELECT hi FROM e WHERE k = 42) END AS a),
 q AS (SELECT source, tokens, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM s, a) * total + 1e-6) AS BIGINT) AS quota FROM s, a),
 w AS (SELECT source, quota // tokens AS epochs, quota - (quota // tokens) * tokens AS part FROM q),
-h AS (SELECT t.*, w.epochs, w.part, md5('1/' || epochs || '/' || key) AS hash FROM t JOIN w ON w.source = t.source),
+h AS (SELECT t.*, w.epochs, w.part, md5('1/' || epochs || '/' || key) AS hash FROM t JOIN w ON w.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT source, max(hash) AS cut FROM (SELECT source, hash, part, sum(tokens) OVER (PARTITION BY source ORDER BY hash) - tokens AS before FROM h) b WHERE before < part GROUP BY 1),
-u AS (SELECT h.doc_id, h.source, h.tokens, h.key, unnest(range(0, CAST(h.epochs + CASE WHEN h.hash <= c.cut THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM h LEFT JOIN c ON c.source = h.source)
+u AS (SELECT h.doc_id, h.source, h.tokens, h.key, unnest(range(0, CAST(h.epochs + CASE WHEN h.hash <= c.cut THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM h LEFT JOIN c ON c.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, source, tokens AS n_tokens, epoch, substr(md5('1/' || epoch || '/' || key), 1, 2) AS block, md5('1/' || epoch || '/' || key) AS place FROM u"""
 
 _SPECIAL = "(" + "|".join("".join("\\" + c if not c.isalnum() and c not in "<>/" else c for c in x) for x in (ESCAPE, *CONTROL)) + ")"
@@ -80,7 +80,7 @@ _JOIN = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || stop, ',' ORDE
 _N = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, (k, *_) in enumerate(BASE))
 OP10 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS text FROM documents),
 f AS ({" UNION ALL ".join(_found(i, *x) for i, x in enumerate((*BASE, *EXTRA)))}),
-o AS (SELECT secret, count(DISTINCT owner) > {MAX_OWNERS} OR count(DISTINCT (owner, repo)) > {MAX_REPOS} AS example FROM f JOIN d ON d.r = f.r GROUP BY 1),
+o AS (SELECT secret, count(DISTINCT coalesce('=' || owner, '')) > {MAX_OWNERS} OR count(DISTINCT coalesce('=' || owner, '') || chr(0) || coalesce('=' || repo, '')) > {MAX_REPOS} AS example FROM f JOIN d ON d.r = f.r GROUP BY 1),
 j AS (SELECT f.*, o.example FROM f JOIN o ON o.secret = f.secret),
 b AS (SELECT r, {_N}, {_JOIN} AS t FROM j WHERE kind < {len(BASE)} GROUP BY 1),
 e AS (SELECT r, {_JOIN} AS t FROM j WHERE kind < {len(BASE)} OR NOT example GROUP BY 1),
