@@ -14,6 +14,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -27,18 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import BROADCAST_ROWS, in_batches, written
 
 CAPACITY = 1024
 END_ID = 2
+#: White spaces in a row from which the slower library takes over.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 class ByteBpe:
     """Ids of whole texts under a byte-level BPE file, as packed unsigned 32-bit numbers.
 
-    The file's vocabulary serves as ranks for the faster of two libraries; texts with the strings of special tokens go through
-    the other one, which knows them.
+    The file's vocabulary serves as ranks for the faster of two libraries. Texts with the strings of special tokens go through
+    the other one, which knows them, and so do texts with a run of LONG_RUN white spaces, as the faster one's pattern steps back
+    through such a run and fails on a million.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,7 +62,7 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= LONG_RUN and _LONG_RUN.search(text)):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.plain(text)).tobytes()
 
@@ -189,7 +194,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     cols = [np.array(c, dtype=np.int64) for c in (zip(*slots) if slots else [()] * 5)]
     names = ["_length", "_from", "_to", "_base", "_offset"]
     spots = spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in cols], names))
-    # a row per kind of bin and length in it, from a histogram of at most `capacity` numbers: bounded, so broadcast
+    # a row per kind of bin and length in it, from a histogram of at most `capacity` numbers, whatever the corpus
     hit = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
-    out = ranked.join(F.broadcast(spots), hit)
+    out = ranked.join(F.broadcast(spots) if len(slots) <= BROADCAST_ROWS else spots, hit)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
