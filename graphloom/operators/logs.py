@@ -63,6 +63,13 @@ def intervals(g: Frames, buckets: int = 64) -> DataFrame:
     return out.filter("stop IS NOT NULL")
 
 
+def open_jobs(g: Frames) -> DataFrame:
+    """job_i, description, start of jobs that have started and not ended; they count as active in the last interval and after it."""
+    t = lambda e: F.max(F.when(F.col("event") == e, F.col("time_ns")))
+    spans = g.joblog.groupBy("job_i", "description").agg(t("START").alias("start"), t("END").alias("stop"))
+    return spans.filter("start IS NOT NULL AND stop IS NULL").select("job_i", "description", "start")
+
+
 def dips(iv: DataFrame, njob: int, top: int) -> DataFrame:
     """The intervals below njob that lose most job time."""
     lost = (F.lit(njob) - F.col("active")) * (F.col("stop") - F.col("start"))

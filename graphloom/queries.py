@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import states as S
 from .functions import text as T
 from .functions.patterns import Pattern
+from .functions.registry import Calls, Kinds, over_cases
 from .operators import aggregates as A
 from .operators import changes as C
 from .operators import checks as K
@@ -18,9 +21,9 @@ from .operators import pending as P
 from .operators import recursive as G
 from .operators import relational as R
 from .operators import scheduling as D
-from .plans import fixpoint
+from .plans.stored import shared_dir
 from .sources.derived import frames, prelude
-from .sources.frames import Frames
+from .sources.frames import Frames, read_graph, read_joblog, read_sqllog, read_sqllog_index, write_graph, write_joblog, write_sqllog, write_sqllog_index
 
 QUERIES: dict[str, Callable[[Frames], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,8 +60,30 @@ add("src_nodes", lambda g: R.nodes(g, "file"), "SELECT * FROM node WHERE kind =
 add("src_find", lambda g: R.find(g, "step", "order 7"), "SELECT * FROM node WHERE kind = 'step' AND label = 'order 7'")
 add("src_batch", lambda g: R.file_hashes(g, g.target_path), "SELECT label, state, digest FROM node JOIN file ON i = node WHERE kind = 'file' AND NOT detached AND label IN (SELECT path FROM target_path)")
 add("src_idlist", lambda g: R.hashes_to_check(g, changed(g)), f"SELECT f.node, n.label, f.digest FROM file f JOIN node n ON n.i = f.node WHERE f.node IN ({CHANGED})")
-add("src_joblog", lambda g: g.joblog, "SELECT * FROM joblog")
-add("src_sqllog", L.with_index, "SELECT s.*, x.query, x.module_name, x.line, x.plan FROM sqllog s LEFT JOIN sqllog_index x ON x.query_i = s.query_i")
+
+
+def _through_files(g: Frames, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame], df: DataFrame) -> DataFrame:
+    """df, written in its file format and read again."""
+    path = f"{shared_dir(g.spark)}/graphloom/{uuid.uuid4().hex}"
+    write(df, path)
+    return read(g.spark, path)
+
+
+def _sqllog(g: Frames) -> DataFrame:
+    log = _through_files(g, write_sqllog, read_sqllog, g.sqllog)
+    return L.with_index(g.with_(sqllog=log, sqllog_index=_through_files(g, write_sqllog_index, read_sqllog_index, g.sqllog_index)))
+
+
+def _database(g: Frames) -> DataFrame:
+    path = f"{shared_dir(g.spark)}/graphloom/{uuid.uuid4().hex}"
+    write_graph(g, path)
+    return A.totals(g.with_(**read_graph(g.spark, path)))
+
+
+add("src_joblog", lambda g: _through_files(g, write_joblog, read_joblog, g.joblog), "SELECT * FROM joblog")
+add("src_sqllog", _sqllog, "SELECT s.*, x.query, x.module_name, x.line, x.plan FROM sqllog s LEFT JOIN sqllog_index x ON x.query_i = s.query_i")
+TOTALS = "SELECT 'node' AS frame, count(*) AS n FROM node UNION ALL SELECT 'dependency', count(*) FROM dependency UNION ALL SELECT 'file', count(*) FROM file UNION ALL SELECT 'step', count(*) FROM step UNION ALL SELECT 'step_resource', count(*) FROM step_resource UNION ALL SELECT 'env_var', count(*) FROM env_var"
+add("src_db", _database, TOTALS)
 KEY = "CASE WHEN {0}.detached THEN '(' || {0}.kind || ':' || {0}.label || ')' ELSE {0}.kind || ':' || {0}.label END"
 add(
     "snk_text",
@@ -200,7 +225,7 @@ add("agg_resource_used", A.resource_used, USED)
 DECLARED = "SELECT node, need AS implied_need FROM step"
 add("agg_need_bucket", lambda g: A.need_buckets(g, g.step.select("node", F.col("need").alias("implied_need"))), "SELECT need AS implied_need, s.state = 23 AS succeeded, count(*) AS n FROM step s JOIN node ON i = s.node WHERE NOT detached GROUP BY 1, 2")
 add("agg_required", lambda g: A.required_steps(A.need_buckets(g, g.step.select("node", F.col("need").alias("implied_need"))), S.OPTIONAL), "SELECT count(*) FILTER (s.state = 23) AS succeeded, count(*) AS required FROM step s JOIN node ON i = s.node WHERE NOT detached AND need > 31")
-add("agg_totals", A.totals, "SELECT 'node' AS frame, count(*) AS n FROM node UNION ALL SELECT 'dependency', count(*) FROM dependency UNION ALL SELECT 'file', count(*) FROM file UNION ALL SELECT 'step', count(*) FROM step UNION ALL SELECT 'step_resource', count(*) FROM step_resource UNION ALL SELECT 'env_var', count(*) FROM env_var")
+add("agg_totals", A.totals, TOTALS)
 add("agg_pend_resource", lambda g: A.short_by_name(R.short_resources(g)), f"SELECT name, max(units) AS units_needed, max(available) AS units_available FROM ({SHORT}) s GROUP BY 1")
 FREE = f"SELECT s.node, NOT EXISTS (SELECT 1 FROM step_resource r LEFT JOIN available_resource a ON a.name = r.name LEFT JOIN ({USED}) u ON u.name = r.name WHERE r.node = s.node AND (a.units IS NULL OR a.units - coalesce(u.used, 0) < r.units)) AS free FROM step s"
 add("agg_resource_free", A.resources_free, FREE)
@@ -213,6 +238,7 @@ INTERVALS = """SELECT start, stop, CAST(active AS BIGINT) AS active FROM (SELECT
     FROM (SELECT time_ns, sum(CASE event WHEN 'START' THEN 1 ELSE -1 END) AS delta FROM joblog GROUP BY 1) t) i WHERE stop IS NOT NULL"""
 NJOB = 40
 add("win_interval_sweep", L.intervals, INTERVALS)
+add("win_open_jobs", L.open_jobs, f"SELECT job_i, description, start FROM {SPANS} q WHERE stop IS NULL AND start IS NOT NULL")
 add("agg_dip_hist", lambda g: L.dip_histogram(L.intervals(g), NJOB), f"SELECT active, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS total, CAST(sum(({NJOB} - active) * (stop - start)) AS BIGINT) AS lost FROM ({INTERVALS}) i WHERE active < {NJOB} GROUP BY 1")
 add("top_dips", lambda g: L.dips(L.intervals(g), NJOB, 10), f"SELECT start, stop, active, ({NJOB} - active) * (stop - start) AS lost FROM ({INTERVALS}) i WHERE active < {NJOB} ORDER BY lost DESC, start LIMIT 10")
 add("agg_concurrency", lambda g: L.concurrency(L.intervals(g), NJOB), f"SELECT sum(active * (stop - start)) / sum(stop - start) AS mean, 100.0 * sum(CASE WHEN active >= {NJOB} THEN stop - start ELSE 0 END) / sum(stop - start) AS saturated_pct FROM ({INTERVALS}) i")
@@ -289,7 +315,8 @@ add(
     """WITH up AS (SELECT source AS i, sink AS by FROM dependency UNION ALL SELECT creator, i FROM node WHERE creator <> i),
     held AS (SELECT i FROM node WHERE NOT detached UNION SELECT up.i FROM held JOIN up ON up.by = held.i) SELECT i FROM node WHERE detached AND i NOT IN (SELECT i FROM held)""",
 )
-add("gr_static_prune", G.unused_tree_files, "SELECT f.i, f.label FROM node f JOIN node t ON t.i = f.creator AND t.kind = 'st' WHERE f.kind = 'file' AND NOT f.detached AND f.i NOT IN (SELECT d.source FROM dependency d JOIN node n ON n.i = d.sink WHERE NOT n.detached)")
+# some parts are used by no order any more
+add("gr_static_prune", lambda g: G.unused_tree_files(g.with_(dependency=g.dependency.filter("source % 300 <> 47"))), "SELECT f.i, f.label FROM node f JOIN node t ON t.i = f.creator AND t.kind = 'st' WHERE f.kind = 'file' AND NOT f.detached AND f.i NOT IN (SELECT d.source FROM dependency d JOIN node n ON n.i = d.sink WHERE NOT n.detached AND d.source % 300 <> 47)")
 ANC = "up AS (SELECT i, creator AS anc, 1 AS depth FROM node WHERE creator <> i UNION SELECT up.i, n.creator, up.depth + 1 FROM up JOIN node n ON n.i = up.anc WHERE n.creator <> n.i), anc AS (SELECT up.i, up.anc, up.depth, s.state, s.holding FROM up JOIN step s ON s.node = up.anc WHERE up.i IN (SELECT node FROM step))"
 SAFE = "SELECT s.node, coalesce(bool_and(a.state IN (22, 23) AND a.holding = 0), true) AS safe, coalesce(bool_and(a.state IN (22, 23)), true) AS safe_ignoring_hold FROM step s LEFT JOIN anc a ON a.i = s.node GROUP BY 1"
 add("gr_safe", G.safety, f"WITH {ANC} {SAFE}")
@@ -562,6 +589,21 @@ def _changes(g: Frames) -> DataFrame:
     return net_changes(g.change)
 
 
+
+
+def _phases(g: Frames) -> DataFrame:
+    from .streaming.changes import relevant_net
+
+    return relevant_net(g, _patterns(g, PATTERNS))
+
+
+add(
+    "str_phase",
+    _phases,
+    """WITH f AS (SELECT label AS path, state FROM node JOIN file ON node = i WHERE NOT detached), m AS (SELECT c.*, CASE WHEN state IS NULL THEN regexp_full_match(c.path, 'supplier/1[^/]*/[^/]*\\.dat|supplier/2[^/]/[^/]+\\.dat|(.*/|)9[^/]*\\.dat')
+        WHEN during_build THEN state IN (13, 14) ELSE state NOT IN (15, 18) END AS relevant FROM change c LEFT JOIN f ON f.path = c.path)
+    SELECT path, arg_max(change, seq + CASE WHEN during_build THEN 0 ELSE 1000000000000 END) AS change FROM m WHERE relevant GROUP BY 1""",
+)
 add("str_changes", _changes, "SELECT path, arg_max(change, seq) AS change FROM change GROUP BY 1")
 
 
@@ -672,3 +714,40 @@ add(
     p AS (SELECT rtrim(path, '/') AS path, bool_or(path LIKE '%/') AS folder FROM (SELECT path FROM path WHERE digest < '8' UNION ALL SELECT label FROM node WHERE kind IN ('file', 'st')) x GROUP BY 1)
     SELECT DISTINCT 'pattern' AS kind, pattern AS path FROM nglob UNION ALL SELECT CASE WHEN folder THEN 'tree' WHEN folder IS NULL THEN 'absent' ELSE 'file' END, CASE WHEN folder THEN a.path || '/' ELSE a.path END FROM a LEFT JOIN p ON p.path = a.path""",
 )
+
+# Functions by name, cases, kinds of nodes
+
+CALLS = Calls()
+
+
+@CALLS.register
+def shout(argument: pd.Series) -> pd.Series:
+    return argument.str.upper()
+
+
+@CALLS.register
+def measure(argument: pd.Series) -> pd.Series:
+    return argument.str.len().astype(str)
+
+
+def _called(g: Frames) -> DataFrame:
+    steps = g.node.filter("kind = 'step'")
+    return CALLS.run(steps.select(F.col("i").alias("node"), F.when(F.col("i") % 2 == 0, "shout").otherwise("measure").alias("function"), F.col("label").alias("argument")))
+
+
+def _cases(g: Frames) -> DataFrame:
+    scripts = g.node.filter("kind = 'step'").select(F.col("i").alias("node"), F.split("label", " ")[0].alias("script"), F.concat(F.lit("run {} of "), F.col("label")).alias("template"))
+    cases = g.joblog.select("description").distinct().select(F.explode(F.array(F.lit("order"), F.lit("nation"))).alias("script"), F.col("description").alias("case"))
+    return over_cases(scripts, cases)
+
+
+def _kinds(g: Frames) -> DataFrame:
+    kinds = Kinds()
+    node = g.node.withColumn("kind", F.when(F.col("label").startswith("nation "), "place").otherwise(F.col("kind")))
+    kinds.add("place", g.node.filter("i % 10 IN (2, 3) AND i <> 13").select(F.col("i").alias("node"), F.col("label").alias("name")), "node BIGINT, name STRING")
+    return kinds.violations(g.with_(node=node))
+
+
+add("udf_call", _called, "SELECT i AS node, CASE WHEN i % 2 = 0 THEN upper(label) ELSE CAST(length(label) AS STRING) END AS result FROM node WHERE kind = 'step'")
+add("udf_script", _cases, "WITH c AS (SELECT s.script, d.description AS case_ FROM (SELECT DISTINCT description FROM joblog) d, (VALUES ('order'), ('nation')) s(script)) SELECT i AS node, case_ AS \"case\", 'run ' || case_ || ' of ' || label AS argument FROM node JOIN c ON kind = 'step' AND string_split(label, ' ')[1] = c.script")
+add("udf_node", _kinds, "SELECT 'place' AS kind, 'no node' AS rule, i FROM node WHERE i % 10 = 2 UNION ALL SELECT 'place', 'no row', i FROM node WHERE i = 13")

@@ -66,6 +66,14 @@ def write_joblog(df: DataFrame, path: str) -> None:
     df.select("time_ns", "job_i", "event", "description").write.csv(path)
 
 
+def write_sqllog(df: DataFrame, path: str) -> None:
+    df.select("transaction_i", "execute_i", "query_i", "start_ns", "duration_ns", "nrecords").write.csv(path)
+
+
+def write_sqllog_index(df: DataFrame, path: str) -> None:
+    df.select("query", "module_name", "line", "plan", "query_i").write.json(path)
+
+
 def read_sqllog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["sqllog"]).csv(path)
 

@@ -30,6 +30,16 @@ def net_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by("change", "seq").alias("change"))
 
 
+def relevant_net(g: Frames, patterns: DataFrame) -> DataFrame:
+    """path, change: the last event of each path that matters, of the frames' changes. Those seen while building are replayed before
+    the others and judged more strictly; patterns as for `relevant_changes`."""
+    from ..operators.relational import relevant_changes
+
+    matter = relevant_changes(g, patterns).filter("relevant").select("path", "during_build")
+    kept = g.change.join(matter, ["path", "during_build"], "left_semi")
+    return kept.groupBy("path").agg(F.max_by("change", F.struct(~F.col("during_build"), F.col("seq"))).alias("change"))
+
+
 def unchanged_dropped(net: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """net without updates of paths whose digest is the same; old and new have path, digest."""
     same = old.join(new.select("path", F.col("digest").alias("d")), "path").filter(F.col("digest") == F.col("d")).select("path")
@@ -49,11 +59,20 @@ def glob_effect(deleted: DataFrame, added: DataFrame, matched: DataFrame) -> Dat
     return gone.unionByName(new).distinct()
 
 
-def watch(changes: DataFrame, g: Frames, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that hands each batch's net changes to sink; a later batch's event for a path replaces an earlier one's."""
+def watch(changes: DataFrame, g: Frames, sink: Callable[[DataFrame, int], None], checkpoint: str, patterns: DataFrame | None = None, wait: str | None = None):
+    """Start a query that hands each batch's net changes to sink; a later batch's event for a path replaces an earlier one's.
+
+    With patterns only what matters is handed on. `wait` ('500 milliseconds') gathers events for that long and goes on until it is
+    stopped; without it the query ends with what is there.
+    """
     known = g.node.filter("kind = 'file' AND NOT detached").select(F.col("label").alias("path"))
 
     def batch(df: DataFrame, n: int) -> None:
-        sink(net_changes(expanded(df, known)), n)
-
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if patterns is None:
+            sink(net_changes(expanded(df, known)), n)
+            return
+        one = expanded(df, known).join(df.select("seq", "during_build"), "seq").select("seq", "path", "change", "during_build")
+        sink(relevant_net(g.with_(change=one), patterns), n)
+
+    trigger = {"processingTime": wait} if wait else {"availableNow": True}
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()

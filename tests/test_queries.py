@@ -84,3 +84,50 @@ def test_change_stream(spark, tmp_path):
     query = watch(read_changes(spark, f"{tmp_path}/in"), g, lambda df, n: seen.update({r.path: r.change for r in df.collect()}), f"{tmp_path}/cp")
     query.awaitTermination(60)
     assert seen == {"d/x": S.DELETED, "d/y": S.UPDATED, "e": S.UPDATED}
+
+
+def test_stream_judges_by_phase(spark, tmp_path):
+    """What was seen while building is replayed first and must be a static file; the rest follows."""
+    from graphloom.functions.patterns import Pattern
+
+    b = Builder()
+    b.file("made", S.BUILT)
+    b.file("static", S.CONFIRMED)
+    g = b.frames(spark)
+    (tmp_path / "in").mkdir()
+    events = [(9, "made", S.UPDATED, True), (8, "static", S.DELETED, True), (1, "static", S.UPDATED, False), (2, "made", S.DELETED, False), (3, "x.dat", S.UPDATED, True), (4, "other", S.UPDATED, False)]
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"seq": s, "path": p, "change": c, "during_build": d}) for s, p, c, d in events))
+    patterns = spark.createDataFrame([(Pattern("*.dat").regex(), Pattern("*.dat").base())], "regex string, base string")
+    seen = {}
+    query = watch(read_changes(spark, f"{tmp_path}/in"), g, lambda df, n: seen.update({r.path: r.change for r in df.collect()}), f"{tmp_path}/cp", patterns, "200 milliseconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert seen == {"made": S.DELETED, "static": S.UPDATED, "x.dat": S.UPDATED}
+
+
+def test_registries(spark):
+    import pandas as pd
+
+    from graphloom.functions.registry import Calls, Kinds
+
+    calls = Calls()
+
+    @calls.register
+    def twice(argument: pd.Series) -> pd.Series:
+        return argument + argument
+
+    with pytest.raises(ValueError):
+        calls.register(twice)
+    steps = spark.createDataFrame([(1, "twice", "a"), (2, "twice", None)], "node long, function string, argument string")
+    assert {r.node: r.result for r in calls.run(steps).collect()} == {1: "aa", 2: None}
+    assert calls.run(steps.limit(0)).count() == 0
+    with pytest.raises(Exception, match="no function"):
+        calls.run(steps.selectExpr("node", "'nope' AS function", "argument")).collect()
+    kinds, frame = Kinds(), spark.createDataFrame([(1, "x")], "node long, name string")
+    for kind, schema in (("file", "node BIGINT, name STRING"), ("own", "node BIGINT, other STRING")):
+        with pytest.raises(ValueError):
+            kinds.add(kind, frame, schema)
+    kinds.add("own", frame, "node BIGINT, name STRING")
+    assert [(r.rule, r.i) for r in kinds.violations(Builder().frames(spark)).collect()] == [("no node", 1)]
