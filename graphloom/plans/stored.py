@@ -29,3 +29,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder; for when no result is read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom")
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

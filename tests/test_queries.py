@@ -15,7 +15,7 @@ from graphloom.streaming.changes import read_changes, watch
 from .graphs import Builder
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("pend_", "gr_", "top_", "agg_pend_kind", "agg_bucket", "agg_need_max", "agg_safe_min", "flt_dispatch", "set_step", "set_union", "win_primary", "jn_anti", "jn_exists")
+SLOW = ("gr_", "top_", "agg_need_max", "flt_dispatch")
 KEPT = ("gr_safe", "gr_mark_pending", "gr_consistency", "gr_leaf_layers", "gr_would_cycle", "snk_pending", "top_hidden", "top_dips", "top_jobs")
 
 
@@ -41,6 +41,16 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(tuple(normal(x[k]) for k in at) for x in r.fetchall())
 
 
+def test_nothing_is_left(spark, tmp_path, monkeypatch):
+    from graphloom.plans import stored
+
+    monkeypatch.setattr(stored, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert stored.stored(spark.range(3)).count() == 3
+    assert list((tmp_path / "shared" / "graphloom").iterdir())
+    stored.clean(spark)
+    assert not (tmp_path / "shared" / "graphloom").exists()
+
+
 def test_every_query_has_sql():
     assert Q.QUERIES.keys() == Q.ORACLES.keys()
     assert Q.QUERIES.keys() <= __spark_entry__.queries().keys()
