@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.registry import on_workers_path
+from ..plans.stored import shared_dir
+
 #: Rows and bytes of an Arrow batch sent to Python; they bound a worker's memory when texts are very long.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16_000_000
@@ -18,27 +18,12 @@ BATCH_BYTES = 16_000_000
 BROADCAST_ROWS = 2_000_000
 #: Rows of one key up to which they may meet in one task.
 HOT_ROWS = 10_000
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in
-    this process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        found = _OWN[app]
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
 
@@ -63,10 +48,7 @@ def remove(*tables: DataFrame) -> None:
 def in_batches(spark: SparkSession) -> None:
     """Small Arrow batches, and this package on the workers' path where they share the driver's disk. A session that asks for
     smaller batches keeps them; the settings last, as they are read when a query starts."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    on_workers_path(spark)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
         if not 0 < int(now or 0) <= most:
