@@ -3,8 +3,9 @@
 TREES trees are fitted on a bounded sample of SAMPLE vectors (those with the smallest hashes of their ids): a node splits its
 sample by the hyperplane between two of its vectors, until LEAF sample vectors or fewer are left. Every vector then falls into
 one leaf a tree. A query goes through all trees with one priority queue, ordered by the margins on the way: the nearest leaves
-over all trees come first, until they hold CHECKED of all vectors, and LEAST vectors at least. The vectors of a leaf are compared with the queries that
-chose it, block by block, and each candidate that might be among the best is reranked by its exact cosine in double precision.
+over all trees come first, until they hold CHECKED times as many vectors as there are, those in several leaves counted for each;
+the rule is the same at every size. The vectors of a leaf are compared with the queries that chose it, block by block, and each
+candidate that might be among the best is reranked by its exact cosine in double precision.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids, which is all that k neighbours can need, so copies neither fill a
 leaf nor multiply pairs. Leaves are dealt in chunks of CHUNK vectors. Vectors that are null, empty, zero or hold a null or
@@ -23,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import in_batches, join_known, written
 
 TREES = 12
 SAMPLE = 16_384
 LEAF = 192
 #: Vectors that a query's leaves hold, as a share of all; those in several leaves count once for each.
-CHECKED = 1.0
-#: Vectors that they hold at least, counted alike, where a share of a small table would be too few.
-LEAST = 8192
+CHECKED = 1.25
 #: Queries compared at once.
 QUERIES = 256
 CHUNK = 4096
@@ -214,7 +213,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = K, trees: int = TREES,
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked = [shared.value.search(q, sizes, max(LEAST, int(checked * total) + 1)) for q in unit(_vectors(b.column(2)))] if b.num_rows else []
+            picked = [shared.value.search(q, sizes, int(checked * total) + 1) for q in unit(_vectors(b.column(2)))] if b.num_rows else []
             picked = [[n * (1 << 20) + c for n in p for c in range(chunks.get(n, 0))] for p in picked]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(picked, pa.list_(pa.int64()))], ["h1", "h2", "e", "picked"])
 
@@ -229,6 +228,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = K, trees: int = TREES,
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id"))
     top = found.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)
     top = top.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("id")))).alias("top"))
+    asked = asked.distinct()
+    top = written(top.join(asked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), ["h1", "h2"]), "top")
     # the query's own id goes; copies of its vector stay
-    out = asked.distinct().join(top, ["h1", "h2"]).select("query_id", F.posexplode(F.slice(F.filter("top", lambda t: t["id"] != F.col("query_id")), 1, k)).alias("p", "t"))
+    out = join_known(asked, top, ["h1", "h2"], "n", F.col("query_id")).select("query_id", F.posexplode(F.slice(F.filter("top", lambda t: t["id"] != F.col("query_id")), 1, k)).alias("p", "t"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.id").alias("vec_id"), (-F.col("t.far")).alias("score"))
