@@ -2,7 +2,8 @@
 
 `ledger` measures each whole text once and evaluates each rule once; it stores the failed rules as bits of `fail_bits`.
 `apply_policy` reads the bits only: a policy is a version name and the rules it enforces. `ablations` counts, by bitwise
-aggregation in one pass, what each rule of a policy drops alone and together with others.
+aggregation in one pass, what each rule of a policy drops alone and together with others; `report` sets them beside the
+documents that they concern.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null and empty texts have no words, so the base rule `few_words` fails; null ids stay null;
 repeated rows are measured separately; an empty table gives an empty ledger; other columns are ignored.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, written
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -107,3 +108,14 @@ def ablations(led: DataFrame, version: str = "v2") -> DataFrame:
         aggs += [count(bits.bitwiseAND(one) != 0).alias(f"f_{r}"), count(bits == one).alias(f"u_{r}")]
     cells = [F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit"), F.col(f"f_{r}").alias("n_failed"), F.col(f"u_{r}").alias("n_only"), (F.col("n_kept") + F.col(f"u_{r}")).alias("n_kept_without"), "any_bits", "all_bits") for r in rules]
     return led.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
+def report(docs: DataFrame, version: str = "v2", earlier: str = "v1") -> DataFrame:
+    """The ledger of docs, written once, under a policy (base_failed, kept) and an earlier one (kept_earlier), and from the policy's
+    ablations: sole_rule, the rule without which a document would be kept, and n_sole, how many documents hang on it alone."""
+    led = written(ledger(docs), "ledger")
+    # a row per rule
+    alone = ablations(led, version).select(F.col("bit").alias("_bit"), F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))
+    df = apply_policy(led, version).withColumn("kept_earlier", passes(POLICIES["base"]) & passes(POLICIES[earlier]))
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long"))
+    return df.join(F.broadcast(alone), failed == F.col("_bit"), "left").drop("_bit")

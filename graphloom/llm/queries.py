@@ -51,8 +51,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    led = quality_rules.report(table(spark, sf_dir, "documents"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "kept_earlier", "sole_rule", "n_sole")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM l GROUP BY 1"""
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+_SOLE = " ".join(f"WHEN {bit} THEN '{rule}'" for rule, bit in BIT.items())
 OP8 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT r, {WORDS} AS w FROM d),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w) x),
 o AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) x WHERE n > 1),
@@ -53,7 +54,8 @@ m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(li.lines, 0) AS BIGINT) AS n_word_lines
     FROM d JOIN w ON w.r = d.r LEFT JOIN rep ON rep.r = d.r LEFT JOIN li ON li.r = d.r),
 f AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask(POLICIES["base"])}) <> 0 AS base_failed, (fail_bits & {mask(tuple(BIT))}) = 0 AS kept, fail_bits FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask(POLICIES["base"])}) <> 0 AS base_failed, (fail_bits & {mask(tuple(BIT))}) = 0 AS kept, fail_bits,
+    (fail_bits & {mask(POLICIES["v1"])}) = 0 AS kept_earlier, CASE fail_bits {_SOLE} END AS sole_rule, CASE WHEN fail_bits IN ({", ".join(map(str, BIT.values()))}) THEN count(*) OVER (PARTITION BY fail_bits) END AS n_sole FROM f"""
 
 # all pairs that share a gram, on the driver's small tables
 OP9 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
