@@ -62,6 +62,28 @@ def test_quality_rules(spark, corpus):
     assert quality_rules.ledger(empty(spark)).count() == 0
 
 
+def test_policies_and_their_report(spark, corpus):
+    """Each version's verdict from the measurements, in plain Python, and what hangs on one rule alone."""
+    fails = {
+        "few_words": lambda m: m[0] < 50, "repeat_words": lambda m: 100 * m[4] > 50 * m[0], "symbols": lambda m: 10 * m[2] > m[0],
+        "dup_lines": lambda m: 100 * m[3] > 30 * m[5], "short_words": lambda m: m[1] < 2 * m[0], "long_words": lambda m: m[1] > 15 * m[0], "many_words": lambda m: m[0] > 1_000_000,
+    }
+    rules = {"base": ["few_words", "repeat_words"], "v1": ["few_words", "repeat_words", "symbols", "dup_lines"], "v2": list(fails)}
+    rows = [*corpus, (8001, "ab cd ef " * 40, "s"), (8002, " ".join(f"{chr(97 + i % 26)}" for i in range(60)), "s"), (8003, " ".join("x" * 20 + str(i) for i in range(80)), "s"), (8004, " ".join(f"word{i} #" for i in range(60)), "s")]
+    got = quality_rules.report(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    broken = {id(r): [k for k, f in fails.items() if f([r[m] for m in quality_rules.MEASURES])] for r in got}
+    alone = Counter(b[0] for b in broken.values() if len(b) == 1)
+    assert len(alone) >= 3
+    for r in got:
+        b = broken[id(r)]
+        assert [k for k in fails if r.fail_bits & quality_rules.BIT[k]] == b
+        assert r.base_failed == any(k in b for k in rules["base"])
+        assert r.kept == (not b) and r.kept_earlier == (not any(k in b for k in rules["v1"]))
+        assert (r.sole_rule, r.n_sole) == ((b[0], alone[b[0]]) if len(b) == 1 else (None, None))
+    assert quality_rules.report(empty(spark)).count() == 0
+
+
 def test_ablations(spark, corpus):
     led = quality_rules.ledger(documents(spark, corpus)).cache()
     bits = [r.fail_bits for r in led.collect()]
@@ -82,17 +104,39 @@ def test_token_counts(spark, corpus):
             best[i] = min(best[j] + costs[token[j:i]] for j in range(i) if token[j:i] in costs)
         return best[-1] & (1 << token_counts.COUNT_BITS) - 1
 
-    small = [r for r in corpus if len(r[1] or "") < 5000]
-    got = Counter((r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(documents(spark, small), RANKS).collect())
-    assert got == Counter((i, len(w := (t or "").encode().split()), sum(map(brute, w))) for i, t, _ in small)
+    known = {}
+    rows = [*corpus, (7001, "ab" * 3000 + " é" + "x" * 2500 + "  y\x0b" + "\n" * 5000 + "ab", "s")]
+    want = Counter()
+    for i, t, _ in rows:
+        words = (t or "").encode().split()
+        for w in set(words) - known.keys():
+            known[w] = brute(w) if len(w) < 300 else token_counts.Trie(costs).alone(w)
+        want[i, len(words), sum(known[w] for w in words)] += 1
+    got = Counter((r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(documents(spark, rows), RANKS).collect())
+    assert got == want
+    # the computation beside the trie is the same; only long words need it
+    for w in [*sorted(known, key=len)[:40], b"abcdefgh" * 60]:
+        assert token_counts.Trie(costs).alone(w) == brute(w)
     assert token_counts.token_counts(empty(spark), RANKS).count() == 0
 
 
-def test_trie_starts_anew():
+def test_trie_starts_anew(monkeypatch):
+    """Within a text too; the trie holds a word beyond its bound at most."""
     costs = token_counts.unigram_costs(RANKS)
-    a, b = token_counts.Trie(costs), token_counts.Trie(costs, max_nodes=5)
-    for text in ("hello world", "worlds hell", "hello again world"):
-        assert a.count(text) == b.count(text)
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcde", k=rng.randint(1, 12))) for _ in range(3000))
+    a, b = token_counts.Trie(costs), token_counts.Trie(costs, max_nodes=50)
+    for t in ("hello world", "worlds hell", "hello again world", text):
+        assert a.count(t) == b.count(t)
+    assert len(b.best) < 70
+    monkeypatch.setattr(token_counts, "LONG_WORD", 4)
+    assert token_counts.Trie(costs).count(text) == a.count(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n" * 1_200_000, "a" + "\u3000" * 20_000 + "b", " " * 9_999 + "x" + "\t" * 10_001 + "<|endoftext|>", "a" * 300_000, "!" * 300_000])
+def test_runs_of_any_length_have_ids(text):
+    """A million white spaces in a row are a valid text; ids are those of the library that the contract names."""
+    assert token_packing.encoder(BPE).ids(text) == array("I", Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def test_packing(spark, corpus):
@@ -186,11 +230,12 @@ def test_ngram_join_chain_beyond_a_block(spark):
 
 
 @pytest.mark.parametrize("combined", [0, 7, 1 << 20])
-def test_candidate_pairs_connect_what_shares_a_digest(spark, combined):
-    """One digest in every set, some in few; runs of any length give the same components."""
-    rows = [(i, [-1, 1000 + i % 7, 2000 + i] if i < 40 else [3000 + i // 2]) for i in range(60)] + [(60, [])]
-    nodes = spark.createDataFrame(rows, "id long, digests array<long>").repartition(3)
-    pairs = ngram_join.candidate_pairs(nodes, combined).collect()
+def test_candidate_pairs_connect_what_shares_an_ngram(spark, combined):
+    """One n-gram first in every set, some in few; runs of any length give the same components. A size of len(s) at 50 % makes
+    the first half and one more count, so what only the last ones share connects nothing."""
+    rows = [(i, [1, 1000 + i % 7, 2000 + i, 9000] if i < 40 else [3000 + i // 2, 9000]) for i in range(60)] + [(60, [])]
+    nodes = spark.createDataFrame([(i, len(s) if i < 40 else 3, b"".join(x.to_bytes(8, "little") for x in s)) for i, s in rows], "id long, n long, s binary").repartition(3)
+    pairs = ngram_join.candidate_pairs(nodes, 50, combined).collect()
     parent = list(range(61))
 
     def find(x):
@@ -206,6 +251,57 @@ def test_candidate_pairs_connect_what_shares_a_digest(spark, combined):
     assert len(pairs) < 150
 
 
+@pytest.mark.parametrize(("grams", "sets", "span"), [(1, 60_000, 1 << 23), (200, 60_000, 500), (1 << 20, 3, 1), (1 << 20, 60_000, 1 << 23)])
+def test_ngram_join_by_chunks(spark, corpus, monkeypatch, grams, sets, span):
+    """Chunks and ranges of any size give the same links; measured() reads them on the driver."""
+    for name, value in (("CHUNK_GRAMS", grams), ("CHUNK_SETS", sets), ("RANGE_BYTES", span)):
+        monkeypatch.setattr(ngram_join, name, value)
+    chunk, chunks = ngram_join.Chunk(), []
+    rows = [r for r in corpus if len(r[1] or "") < 10_000]
+    for (i, _, _), s in zip(rows, ngram_join.ngram_sets([t for _, t, _ in rows])):
+        chunk.add(i, s, 90)
+        if chunk.full():
+            chunks.append(chunk)
+            chunk = ngram_join.Chunk()
+    chunks += [chunk] if chunk.docs else []
+    buckets = max(4, -(-sum(len(t or "") for _, t, _ in rows) // span))
+    dealt = [r for k, c in enumerate(chunks) for r in c.rows(k, buckets)]
+    answers = {}
+    for b in sorted({r[0] for r in dealt}):
+        mine = [r for r in dealt if r[0] == b and r[1] == ngram_join.GRAMS]
+        for k, _, d in ngram_join._answers([r[2] for r in mine], [r[3] for r in mine]) if mine else ():
+            answers.setdefault(k, []).append(d)
+    import pickle
+
+    got = [r for _, kind, k, d in dealt if kind == ngram_join.META for r in ngram_join._ordered(pickle.loads(d), answers.get(k, []), 90)]
+    assert Counter((i, n) for i, n, *_ in got) == Counter((i, n) for (i, n, _), c in brute_components(rows).items() for _ in range(c))
+    # a set that links to another one is there, with all that it shares
+    by_set = {(h1, h2): (n, s) for _, n, h1, h2, s in got if s is not None}
+    whole = {ngram_join._identity(s): s for s in ngram_join.ngram_sets([t for _, t, _ in rows])}
+    for x, a in whole.items():
+        for y, b in whole.items():
+            common = len(set(a.tolist()) & set(b.tolist()))
+            if x != y and len(a) and 100 * common >= 90 * (len(a) + len(b) - common):
+                at, bt = (set(memoryview(by_set[k][1]).cast("Q")) for k in (x, y))
+                assert len(at & bt) == common
+                first = [set(list(memoryview(by_set[k][1]).cast("Q"))[: max(0, len(memoryview(by_set[k][1])) // 8 - ngram_join.least_common(by_set[k][0], 90) + 1)]) for k in (x, y)]
+                assert first[0] & first[1]
+    if grams == 1 << 20 and sets == 60_000:
+        assert len(chunks) == 1
+
+
+def test_very_long_texts_hash_by_runs(monkeypatch):
+    """A text beyond a run, and a word beyond one, hash as they do in one run."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abC\té", k=rng.choice([1, 3, 9, 700]))) for _ in range(400)) + "\n" + "x" * 5000 + " y  "
+    whole = {n: ngram_join.ngram_sets([text, text.upper(), "z"], n) for n in (1, 3, 5)}
+    monkeypatch.setattr(ngram_join, "RUN_BYTES", 256)
+    for n, (a, _, c) in whole.items():
+        got = ngram_join.ngram_sets(["z", text, "z"], n)
+        assert got[1].tolist() == a.tolist() and got[0].tolist() == got[2].tolist() == c.tolist()
+    assert ngram_join.ngram_sets(["w" * 3000], 3)[0].tolist() != ngram_join.ngram_sets(["w" * 3001], 3)[0].tolist()
+
+
 def test_one_of_each(spark, corpus):
     kept = ngram_join.one_of_each(documents(spark, corpus)).collect()
     want = {c for _, _, c in brute_components([r for r in corpus if r[0] is not None])}
@@ -245,6 +341,34 @@ def test_secret_scan(spark, corpus):
     assert secret_scan.secret_spans(empty(spark)).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    """Positions and redaction of 16,000 matches in one text; the limit is far above what linear work needs."""
+    import time
+
+    text = "".join(f"é{i} token=abcdefgh{i:05d} {'0123456789abcdef' * 2}, " for i in range(8000))
+    docs = documents(spark, [(1, text, "s"), (2, "token=abcdefgh12345", "s")])
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_spans(docs).collect()}
+    new = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert time.time() - start < 60
+    assert got[1].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(text)) and got[1].n_assign == got[1].n_hex == 8000
+    assert new[2] == "[SECRET]" and new[1] == "".join(f"é{i} [SECRET] [SECRET], " for i in range(8000))
+
+
+@pytest.mark.parametrize(("bound", "hot_rows"), [(100, 100), (2, 3), (0, 3), (0, 100)])
+def test_join_known(spark, bound, hot_rows):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.common import join_known
+
+    rows = spark.createDataFrame([(k if k < 5 else 1, i) for i in range(20) for k in (i % 11,)] + [(None, 99), (77, 98)], "k long, i long")
+    counts = Counter(r.k for r in rows.collect())
+    known = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items() if k not in (None, 77)], "k long, n long, v string")
+    got = join_known(rows, known, ["k"], "n", F.col("i"), bound, hot_rows)
+    assert got.columns == ["k", "i", "v"]
+    assert Counter(map(tuple, got.collect())) == Counter((r.k, r.i, None if r.k in (None, 77) else f"v{r.k}") for r in rows.collect())
+
+
 def test_redaction(spark):
     df = documents(spark, [(i, t, "s") for i, t in enumerate(SECRETS)])
     got = {r.doc_id: r for r in secret_scan.redacted(df).collect()}
@@ -372,3 +496,61 @@ def test_conversations_read_back(spark):
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_template.format_conversations(df.limit(0)).count() == 0
+
+
+def test_classifier_scores_recomputed(spark):
+    """The sample by its rule, and each score again from the two dictionaries, in plain Python."""
+    import math
+
+    import zstandard
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    syllables = [f"{c}{v}{d}" for c in "bcdfg" for v in "aeiou" for d in "lmnrst"]
+    rows = [(i, (" " if i % 3 else " | ").join(rng.choices(syllables, k=rng.randint(20, 300))), "s") for i in range(600)] + [(900, "", "s"), (901, None, "s"), (902, "word " * 3000, "s")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs, labels)
+    # which rows were fitted on: not held out, the smaller hashes first, half for the dictionaries
+    hashes = {r.i: r.h for r in spark.range(600).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    free = sorted((h, i) for i, h in hashes.items() if zlib.crc32(str(i).encode()) % 4 != 2)
+    text = {i: t for i, t, _ in rows}
+    for label, (data, trained) in ((0, model.bad), (1, model.good)):
+        mine = [text[i].encode() for h, i in free if h % 2 == 0 and (i % 3 > 0) == label]
+        assert trained and data == zstandard.train_dictionary(quality_classifier.DICT_BYTES, mine).as_bytes()
+
+    def size(data, which):
+        d = zstandard.ZstdCompressionDict(which[0], dict_type=zstandard.DICT_TYPE_FULLDICT)
+        return len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    def measures(t):
+        data = (t or "").encode()
+        parts = max(1, round(len(data) / 600))
+        cut = [data[len(data) * k // parts : len(data) * (k + 1) // parts] for k in range(parts)]
+        pairs = [(size(x, model.bad), size(x, model.good)) for x in cut]
+        diff = [(b - g) / (b + g) for b, g in pairs]
+        b, g = size(data, model.bad), size(data, model.good)
+        return [(b - g) / (b + g), g / (len(data) + 20), min(diff), min(g / (len(x) + 20) for (_, g), x in zip(pairs, cut)), sum(diff) / len(diff), math.log(1 + len(data))]
+
+    fitted = [measures(text[i]) for h, i in free if h % 2]
+    for k in range(6):
+        column = [m[k] for m in fitted]
+        mean = sum(column) / len(column)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in column) / len(column))
+        assert abs(model.mean[k] - mean) < 1e-6 and abs(model.scale[k] - max(spread, 1e-9)) < 1e-6
+
+    def score(t):
+        z = [max(-6, min(6, (x - m) / s)) for x, m, s in zip(measures(t), model.mean, model.scale)]
+        x = [1, *z, *(z[i] * z[j] for i in range(6) for j in range(i, 6))]
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights))))))
+
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    for i in [*range(0, 600, 7), 900, 901, 902]:
+        assert abs(got[i].score - score(text.get(i))) < 1e-5, i
+        assert got[i].predicted == (got[i].score >= 0.7)
+    # the weights are where the penalised loss is flat
+    x = [[1, *z, *(z[i] * z[j] for i in range(6) for j in range(i, 6))] for z in ([max(-6, min(6, (v - m) / s)) for v, m, s in zip(f, model.mean, model.scale)] for f in fitted)]
+    y = [int(i % 3 > 0) for h, i in free if h % 2]
+    p = [1 / (1 + math.exp(-sum(a * b for a, b in zip(r, model.weights)))) for r in x]
+    for k in range(len(model.weights)):
+        assert abs(sum((q - t) * r[k] for q, t, r in zip(p, y, x)) + model.weights[k]) < 1e-2
