@@ -7,7 +7,8 @@ prefix shared by many pre-tokens is computed once; terminal nodes' counts are st
 
 The model isn't trained: the piece of rank r costs log((r + 1) * H), in whole micro-units, where H normalises 1 / (r + 1) over
 the vocabulary. Every byte is a piece, so every text has a segmentation. Nothing is shuffled; a worker's trie starts anew
-beyond MAX_NODES nodes, which changes no result. Null and empty texts count 0; null ids and repeated rows are kept; an empty
+beyond MAX_NODES nodes, within a text too, and a pre-token above LONG_WORD bytes is computed beside the trie with the scores of
+its last bytes only; neither changes a result. Null and empty texts count 0; null ids and repeated rows are kept; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import in_batches
 
 MAX_NODES = 1_000_000
+#: Bytes from which a pre-token isn't kept in the trie.
+LONG_WORD = 4096
 #: Low bits of a cost that hold the number of pieces.
 COUNT_BITS = 32
 
@@ -70,15 +74,39 @@ class Trie:
                 path.append(best[node])
         self.terminal[word] = path[-1] & (1 << COUNT_BITS) - 1
 
+    def alone(self, word: bytes) -> int:
+        """The count of a pre-token without the trie; holds as many scores as the longest piece has bytes."""
+        token = b" " + word
+        cost_of, longest = self.costs.get, self.longest
+        last = [0]  # of the prefixes that end in the last bytes
+        for i in range(1, len(token) + 1):
+            least = cost_of(token[i - 1 : i]) + last[-1]
+            for k in range(2, len(last) + 1):
+                cost = cost_of(token[i - k : i])
+                if cost is not None and cost + last[-k] < least:
+                    least = cost + last[-k]
+            last.append(least)
+            if len(last) > longest:
+                del last[0]
+        return last[-1] & (1 << COUNT_BITS) - 1
+
     def count(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens) of a text."""
         words = text.encode("utf-8", "surrogatepass").split() if text else []
-        if len(self.best) > self.max_nodes:
-            self.reset()
-        for w in set(words):
-            if w not in self.terminal:
-                self.insert(w)
-        return len(words), sum(map(self.terminal.__getitem__, words))
+        total, terminal = 0, self.terminal
+        for w, n in Counter(words).items():
+            c = terminal.get(w)
+            if c is None:
+                if len(w) > LONG_WORD:
+                    c = self.alone(w)
+                else:
+                    if len(self.best) > self.max_nodes:
+                        self.reset()
+                        terminal = self.terminal
+                    self.insert(w)
+                    c = terminal[w]
+            total += n * c
+        return len(words), total
 
 
 _TRIES: dict[str, Trie] = {}
