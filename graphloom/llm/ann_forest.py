@@ -30,7 +30,7 @@ TREES = 12
 SAMPLE = 16_384
 LEAF = 192
 #: Vectors that a query's leaves hold, as a share of all; those in several leaves count once for each.
-CHECKED = 1.25
+CHECKED = 1.5
 #: Queries compared at once.
 QUERIES = 256
 CHUNK = 4096
