@@ -136,6 +136,27 @@ def test_detached_cycles_survive(spark):
     assert [r.i for r in recursive.deletable(b.frames(spark)).collect()] == [b.ids["lone"]]
 
 
+def test_deletable_walks_detached_nodes_only(spark, monkeypatch):
+    b = Builder()
+    for k in range(20):
+        b.file(f"f{k}")
+        b.step(f"s{k}", inp=[f"f{k}"])
+    b.file("used", detached=True, creator=None)
+    b.file("far", detached=True, creator=None)
+    b.step("old", inp=["far"], out=["used"], detached=True, creator=None)
+    b.edge("used", "s3")
+    b.file("lone", detached=True, creator=None)
+    walked, reach = [], recursive.fixpoint.reach
+
+    def watched(edges, seeds, *args):
+        walked.extend((edges.count(), seeds.count()))
+        return reach(edges, seeds, *args)
+
+    monkeypatch.setattr(recursive.fixpoint, "reach", watched)
+    assert [r.i for r in recursive.deletable(b.frames(spark)).collect()] == [b.ids["lone"]]
+    assert walked == [2, 1]
+
+
 @pytest.mark.parametrize(("cause", "state", "known", "new", "action"), S.TRANSITIONS)
 def test_transitions_follow_their_rules(cause, state, known, new, action):
     expected = {("EXTERNAL", True): "updated", ("FAILED", True): "updated", ("SUCCEEDED", True): "completed", ("CONFIRMED", True): "completed"}
