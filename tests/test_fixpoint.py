@@ -71,3 +71,52 @@ def test_long_chains(spark):
     assert pairs(fixpoint.relax(v, e, {"a": "sum"}, layers=7)) == {(k, n + 1 - k) for k in range(n + 1)}
     p = spark.createDataFrame([(k + 1, k) for k in range(n)], "i long, parent long")
     assert pairs(fixpoint.forest_roots(p, spark.createDataFrame([(0,)], "i long"))) == {(k, 0) for k in range(n + 1)}
+
+
+def counted(monkeypatch):
+    """The rows of every table that a fixpoint stores."""
+    rows, stored = [], fixpoint.stored
+
+    def count(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, "stored", count)
+    return rows
+
+
+def test_reaches(spark):
+    # 1 -> ... -> 6; 7 and 8 on a cycle below 9 and above 10; 11 on a loop
+    e = edges(spark, *((k, k + 1) for k in range(1, 6)), (9, 7), (7, 8), (8, 7), (8, 10), (11, 11), (2, 5))
+    yes = {(1, 6), (2, 2), (1, 5), (7, 8), (8, 8), (9, 10), (7, 10), (9, 8), (11, 11), (3, 6), (2, 5), (50, 50)}
+    no = {(6, 1), (3, 2), (10, 7), (8, 9), (1, 7), (7, 6), (11, 1), (50, 1), (1, 50), (10, 9)}
+    asked = spark.createDataFrame(sorted(yes | no | {(1, 6)}), "root long, target long")
+    assert pairs(fixpoint.reaches(e, asked)) == yes
+
+
+def test_reaches_searches_for_few_pairs(spark, monkeypatch):
+    n = 60
+    e = edges(spark, *((k, k + 1) for k in range(n)))
+    asked = spark.createDataFrame([p for k in range(n) for p in ((k, k + 1), (k + 1, k))], "root long, target long")
+    rows = counted(monkeypatch)
+    assert pairs(fixpoint.reaches(e, asked)) == {(k, k + 1) for k in range(n)}
+    # a closure from every root has n * n / 2 rows
+    assert max(rows) <= 2 * n
+
+
+def test_sweep_settles_chains_at_once(spark, monkeypatch):
+    n = 60
+    # two chains that end in 0, what branches above them, a cycle, and what leads to it
+    e = edges(spark, *((k + 1, k) for k in range(n)), (101, 0), *((k + 1, k) for k in range(101, 130)), (200, n), (200, 130), (201, 200), (300, 301), (301, 300), (302, 301))
+    v = spark.createDataFrame([(k, k % 7, k % 5) for k in (*range(n + 1), *range(101, 131), 200, 201, 300, 301, 302)], "i long, a int, b long")
+    users = {k + 1: [k] for k in (*range(n), *range(101, 130))} | {101: [0], 200: [n, 130], 201: [200], 0: []}
+    want = {}
+    for k in sorted(users):
+        most = [want[u] for u in users[k]]
+        want[k] = (max([k % 7, *(m[0] for m in most)]), k % 5 + max((m[1] for m in most), default=0))
+    rows = counted(monkeypatch)
+    got = fixpoint.sweep(v, e, {"a": "max", "b": "sum"}, 1)
+    assert {r.i: (r.a, r.b) for r in got.collect()} == want
+    assert got.schema["a"].dataType.simpleString() == "int"
+    assert len(rows) < n
