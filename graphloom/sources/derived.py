@@ -7,9 +7,12 @@ Node ids are key * 10 + tag: 1 root, 2 region, 3 nation, 4 customer, 5 order (al
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .frames import SCHEMAS, Frames
 
+#: Parts of the matches of patterns that start with one folder.
+MATCH_PARTS = 64
 _PLANNED: dict[tuple[str, str], tuple[tuple, Frames]] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -115,10 +118,22 @@ def _planned(spark: SparkSession, sf_dir: str) -> Frames:
     known: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for name, sql in FRAMES.items():
         used = {k: v for k, v in known.items() if f"{{{k}}}" in sql}
-        known[name] = spark.sql(sql, **used)
+        if name == "nglob_match":
+            known[name] = _matches(spark, sql, used)
+        else:
+            known[name] = spark.sql(sql, **used)
     return Frames(**{name: known[name] for name in SCHEMAS})
 
 
+def _matches(spark: SparkSession, sql: str, used: dict[str, DataFrame]) -> DataFrame:
+    """nglob_match; its last part joins on the few folders that the patterns start with, so a folder's paths are dealt out over
+    MATCH_PARTS tasks, each of which meets all of its patterns."""
+    rest, last = sql.rsplit("UNION ALL", 1)
+    g = used["nglob"].filter("pattern LIKE '%/**/*.txt'").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MATCH_PARTS - 1)))).repartition(MATCH_PARTS, "part")
+    p = used["path"].select("path", F.pmod(F.xxhash64("path"), F.lit(MATCH_PARTS)).cast("int").alias("part")).repartition(MATCH_PARTS, "part")
+    return spark.sql(rest, **used).unionAll(spark.sql(f"{last} AND g.part = p.part", nglob=g, path=p))
+
+
 def prelude() -> str:
     """The same frames as common table expressions."""
     names = {n: n for n in (*TABLES, *FRAMES)}
