@@ -1,7 +1,7 @@
 """Matches of which one pattern or path has very many."""
 
 from graphloom.functions import states as S
-from graphloom.operators import relational
+from graphloom.operators import pending, recursive, relational
 from graphloom.plans import spread
 from graphloom.sources.derived import frames
 
@@ -46,3 +46,25 @@ def test_violations_are_counted_without_their_rows(spark, monkeypatch):
         assert sorted(map(tuple, relational.grouped_violations(counts).collect())) == sorted(map(tuple, relational.violation_groups(rows).collect()))
         assert {r.step: (r.n, r.n_errors, r.first) for r in relational.grouped_violations(counts).collect()} == {"s0": (5, 4, "bare"), "s1": (4, 2, "alone"), "s2": (3, 2, "bare"), "s3": (3, 2, "bare")}
         assert {r.path for r in relational.matched_paths(g).collect()} == {"f0", "f1", "f2", "f3", "bare", "alone"}
+
+
+def test_the_analysis_reads_what_it_made_once(spark):
+    b = Builder()
+    b.file("in", S.MISSING)
+    b.step("a", inp=["in"])
+    p = pending.analyse(b.frames(spark))
+    for df in (p.g.dependency, p.g.file, p.g.step):
+        assert df.inputFiles() and all("/graphloom/" in f for f in df.inputFiles())
+    assert [(r.label, r.state) for r in p.dead.collect()] == [("in", S.MISSING)]
+
+
+def test_chains_leave_files_out(spark):
+    b = Builder()
+    b.step("top", S.FAILED)
+    b.file("odd", creator="top")
+    b.step("below", creator="odd")
+    b.file("out", S.PLANNED, creator="below")
+    g = b.frames(spark)
+    # a file that is above a step stays, others go
+    assert {r.i for r in recursive._above_steps(g).collect()} == {b.ids[x] for x in ("top", "odd", "below")}
+    assert {r.node: r.unsafe for r in recursive.chains(g).collect()} == {b.ids["top"]: None, b.ids["below"]: b.ids["top"]}
