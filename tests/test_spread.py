@@ -1,8 +1,11 @@
 """Matches of which one pattern or path has very many."""
 
+import random
+
 from graphloom.functions import states as S
 from graphloom.operators import pending, recursive, relational
-from graphloom.plans import spread
+from graphloom.plans import fixpoint, spread
+from graphloom.plans.stored import stored_by
 from graphloom.sources.derived import frames
 
 from .graphs import Builder
@@ -68,3 +71,51 @@ def test_chains_leave_files_out(spark):
     # a file that is above a step stays, others go
     assert {r.i for r in recursive._above_steps(g).collect()} == {b.ids[x] for x in ("top", "odd", "below")}
     assert {r.node: r.unsafe for r in recursive.chains(g).collect()} == {b.ids["top"]: None, b.ids["below"]: b.ids["top"]}
+
+
+def test_buckets_are_not_shuffled_again(spark):
+    rows = [(k % 7, k) for k in range(50)]
+    df = stored_by(spark.createDataFrame(rows, "k long, v long"), "k")
+    assert sorted(map(tuple, df.collect())) == sorted(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom_")]
+    other = stored_by(spark.createDataFrame([(3, "x")], "k long, w string"), "k")
+    both = df.hint("merge").join(other, "k")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == sorted((k, v, "x") for k, v in rows if k == 3)
+
+
+def test_the_analysis_shuffles_its_edges_once(spark):
+    b = Builder()
+    b.file("in", S.MISSING)
+    b.step("a", inp=["in"])
+    p = pending.analyse(b.frames(spark))
+    assert p.g.dependency.columns == ["source", "sink", "dynamic"]
+    makers = p.g.step.select("node").hint("merge").join(p.g.dependency, p.g.step.node == p.g.dependency.source)
+    assert "Exchange" not in makers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needs_are_swept_among_what_is_left(spark, monkeypatch):
+    rng = random.Random(3)
+    b = Builder()
+    steps = [f"s{k}" for k in range(60)]
+    need = {s: rng.choice([S.OPTIONAL, S.OPTIONAL, S.OPTIONAL, S.DEFAULT]) for s in steps}
+    gone = {s for s in steps if rng.random() < 0.1}
+    uses = {s: sorted({rng.randrange(k) for _ in range(rng.choice([0, 1, 2]))}) if k else [] for k, s in enumerate(steps)}
+    for k, s in enumerate(steps):
+        b.file(f"o{k}", S.PLANNED)
+    for k, s in enumerate(steps):
+        b.step(s, inp=[f"o{x}" for x in uses[s]], out=[f"o{k}"], need=need[s], detached=s in gone)
+    b.rows["target_path"].append(("o5",))
+    want = {s for k, s in enumerate(steps) if need[s] > S.OPTIONAL or k == 5}
+    while True:
+        more = {steps[x] for s in want - gone for x in uses[s]} - want
+        if not more:
+            break
+        want |= more
+    swept = []
+    relax = fixpoint.relax
+    monkeypatch.setattr(fixpoint, "relax", lambda values, *rest: (swept.extend(r.i for r in values.collect()), relax(values, *rest))[1])
+    label = {v: k for k, v in b.ids.items()}
+    got = [label[r.node] for r in recursive.needed(b.frames(spark), S.OPTIONAL).collect()]
+    assert sorted(got) == sorted(want)
+    assert {need[label[i]] for i in swept} <= {S.OPTIONAL}
