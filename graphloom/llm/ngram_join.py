@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, join_known, keyed, remove, written
+from .common import BATCH_ROWS, in_batches, join_known, keyed, remove, written
 
 N = 3
 PERCENT = 90
@@ -54,6 +54,8 @@ CHUNK_GRAMS = 1 << 19
 CHUNK_SETS = 60_000
 #: Bytes of text whose n-grams one range of hashes holds, about.
 RANGE_BYTES = 1 << 23
+#: Edges up to which one task finds the components, as counted; a round in Spark is several jobs.
+TASK_EDGES = 500_000
 #: Postings that a task combines before the shuffle.
 COMBINED_ROWS = 1 << 20
 
@@ -303,10 +305,35 @@ class _Node:
             self.some = [*self.some, key] if len(self.some) < 64 else None
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, comp of the edges (a, b) of all batches: roots point to their smallest neighbouring root, then all to their roots."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held))
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    to = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        a, b = to[a], to[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    for at in range(0, len(ids), BATCH_ROWS):
+        part = slice(at, at + BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ids[to[part]])], ["id", "comp"])
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """id, comp (the smallest id of its component) of all ids in edges (a, b), by contraction: each round every node points to
-    its smallest neighbour, pointers are doubled, and edges are rewritten between what they point to."""
+    its smallest neighbour, pointers are doubled, and edges are rewritten between what they point to. At most TASK_EDGES edges go to one task."""
     edges = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges")
+    if edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        out = written(edges.coalesce(1).mapInArrow(_contracted, "id long, comp long"), f"{tag}-label")
+        remove(edges)
+        return out
     label = None
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -229,6 +229,24 @@ def test_ngram_join_chain_beyond_a_block(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_few_edges_meet_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "TASK_EDGES", most)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1000 + (k + 1) % 40) for k in range(40)] + [(7 - 2**62, 2**62)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    written, jobs = ngram_join.written, []
+    monkeypatch.setattr(ngram_join, "written", lambda df, tag: (jobs.append(tag), written(df, tag))[1])
+    got = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "few")
+    assert {r.id: r.comp for r in got.collect()} == want and got.count() == len(want)
+    assert len(jobs) <= 2 or not most
+    assert ngram_join.components(spark.createDataFrame([(1, 1)], "a long, b long"), "none").count() == 0
+
+
 @pytest.mark.parametrize("combined", [0, 7, 1 << 20])
 def test_candidate_pairs_connect_what_shares_an_ngram(spark, combined):
     """One n-gram first in every set, some in few; runs of any length give the same components. A size of len(s) at 50 % makes
