@@ -5,7 +5,7 @@ import random
 from graphloom.functions import states as S
 from graphloom.operators import pending, recursive, relational
 from graphloom.plans import fixpoint, spread
-from graphloom.plans.stored import stored_by
+from graphloom.plans.stored import stored, stored_by
 from graphloom.sources.derived import frames
 
 from .graphs import Builder
@@ -119,3 +119,41 @@ def test_needs_are_swept_among_what_is_left(spark, monkeypatch):
     got = [label[r.node] for r in recursive.needed(b.frames(spark), S.OPTIONAL).collect()]
     assert sorted(got) == sorted(want)
     assert {need[label[i]] for i in swept} <= {S.OPTIONAL}
+
+
+def shuffled_again(df):
+    """Whether the edges, which lie in buckets of their source, are shuffled before a join has left some out."""
+    left = iter(df._jdf.queryExecution().executedPlan().toString().splitlines())
+    for line in left:
+        if "Exchange hashpartitioning" in line:
+            below = next((x for x in left if any(w in x for w in ("Join", "FileScan", "LocalTableScan", "Scan ExistingRDD"))), "")
+            if "FileScan" in below and "graphloom_" in below and "sink#" in below:
+                return True
+    return False
+
+
+def test_needs_leave_most_edges_where_they_are(spark, monkeypatch):
+    b = Builder()
+    b.file("x", S.PLANNED)
+    b.step("a", out=["x"], need=S.OPTIONAL)
+    b.step("b", inp=["x"])
+    b.step("gone", inp=["x"], detached=True)
+    g = b.frames(spark)
+    g = g.with_(dependency=stored_by(g.dependency.select("source", "sink", "dynamic"), "source"))
+    plans = []
+    monkeypatch.setattr(recursive, "stored", lambda df: (plans.append(shuffled_again(df)), stored(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.node for r in recursive.needed(g, S.OPTIONAL).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {b.ids[x] for x in ("a", "b", "gone")}
+    assert plans and not any(plans)
+
+
+def test_files_and_steps_meet_only_their_nodes(spark):
+    plan = relational.outputs_of(frames(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    # the labels of customers' steps
+    assert "concat(customer " not in plan and "concat(out/" in plan
+    plan = pending.universe(frames(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(customer " in plan and "concat(out/" not in plan
