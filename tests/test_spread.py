@@ -157,3 +157,15 @@ def test_files_and_steps_meet_only_their_nodes(spark):
     assert "concat(customer " not in plan and "concat(out/" in plan
     plan = pending.universe(frames(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "concat(customer " in plan and "concat(out/" not in plan
+
+
+def test_candidates_are_made_once(spark):
+    b = Builder()
+    b.file("in", S.MISSING)
+    b.step("a", inp=["in"])
+    b.step("free")
+    p = pending.analyse(b.frames(spark))
+    blockers = pending.primary_blocker(p)
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert leaves(blockers) == leaves(pending.candidates(p)) + 1
+    assert sorted((r.step, r.kind, r.src) for r in blockers.collect()) == sorted([(b.ids["a"], pending.FILE, str(b.ids["in"])), (b.ids["free"], pending.RUNNABLE, str(b.ids["free"]))])
